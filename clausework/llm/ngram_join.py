@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clausework.llm import _words as w
@@ -32,6 +33,8 @@ from clausework.llm._store import materialise
 HEAVY_SHARE = 0.0005
 HEAVY_LEAST = 8
 STAR_ROUNDS = 2
+#: Up to so many (set, document) pairs, 16 bytes each, the texts to verify are picked by a broadcast; beyond, by a shuffled join.
+BROADCAST_ROWS = 2_000_000
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -127,7 +130,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         heavy, times = rank.value
         seen = set()
         for batch in batches:
-            cols, sigs, sizes = [], [], []
+            cols, sigs, sizes, known = [], [], [], []
             for _, u in _sets(batch.column(0), k):
                 if not len(u):
                     continue
@@ -135,49 +138,54 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
                 if sig in seen:
                     continue
                 seen.add(sig)
-                p = _leading(len(u), num, den)
+                n = len(u)
+                p = _leading(n, num, den)
                 if len(heavy):
                     pos = np.minimum(np.searchsorted(heavy, u), len(heavy) - 1)
                     weight = np.where(heavy[pos] == u, times[pos], 0)
-                    if weight[: min(len(u), 4 * p)].any():
-                        u = u[np.argsort(weight, kind="stable")]
+                    if weight.any():
+                        by = np.argsort(weight, kind="stable")[:p]
+                        u, weight = u[by], weight[by]
+                    known.append(weight[:p] > 0)
+                else:
+                    known.append(np.zeros(p, bool))
                 cols.append(u[:p])
                 sigs.append(sig)
-                sizes.append(len(u))
+                sizes.append(n)
             if cols:
                 lens = [len(c) for c in cols]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols).view(np.int64)), pa.array(np.repeat(np.array(sigs, np.int64), lens)), pa.array(np.repeat(np.array(sizes, np.int32), lens))], names=["col", "sig", "n"])
-
-    entries = docs.select("text").mapInArrow(lead, "col long, sig long, n int")
-    # one row per column and set; a column that only one set has multiplies to nothing
-    shared = entries.groupBy("col", "sig").agg(F.first("n").alias("n"))
-    several = shared.groupBy("col").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("col")
-    block = materialise(shared.join(several, "col", "left_semi"), "block")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols).view(np.int64)), pa.array(np.repeat(np.array(sigs, np.int64), lens)), pa.array(np.repeat(np.array(sizes, np.int32), lens)), pa.array(np.concatenate(known))], names=["col", "sig", "n", "heavy"])
+
+    entries = docs.select("text").mapInArrow(lead, "col long, sig long, n int, heavy boolean")
+    # a column that only one set has multiplies to nothing; heavy ones are shared for certain, so their rows are dealt with salt
+    entries = entries.withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("sig"), F.lit(4096))).otherwise(F.lit(-1))).repartition("col", "salt")
+    own = Window.partitionBy("col", "salt")
+    light = entries.withColumns({"low": F.min("sig").over(own), "high": F.max("sig").over(own)}).where("heavy or low < high")
+    block = materialise(light.select("col", "sig", "n").dropDuplicates(["col", "sig"]), "block")
     reps = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    wanted = block.select("sig").distinct().join(reps, "sig")
-    texts = materialise(docs.join(wanted, "doc_id").groupBy("sig").agg(F.first("text").alias("text")), "texts")
-    comp = block.select(F.col("sig").alias("node")).distinct().withColumn("comp", F.col("node"))
-    links = None
+    wanted = materialise(block.select("sig").distinct().join(reps, "sig"), "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = materialise(docs.join(few, "doc_id").select("sig", "text"), "texts")
+    comp = links = None
     fits = (F.col("na") * num <= F.col("nb") * den) & (F.col("nb") * num <= F.col("na") * den)
     for step in range(STAR_ROUNDS + 1):
-        now = block.join(comp.withColumnRenamed("node", "sig"), "sig")
+        now = block.withColumn("comp", F.col("sig")) if comp is None else block.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+        if comp is not None:  # columns within one component have nothing left to join
+            mixed = now.groupBy("col").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("col")
+            now = materialise(now.join(mixed, "col", "left_semi"), "now")
+            block = now.select("col", "sig", "n")
         if step < STAR_ROUNDS:
             hub = now.groupBy("col").agg(F.min(F.struct(F.xxhash64(F.col("comp"), F.lit(step)).alias("p"), "comp", "sig", "n")).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
             pairs = now.join(hub, "col").where("comp <> h.comp").select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("h.sig").alias("b"), F.col("h.n").alias("nb")).where(fits).distinct()
         else:
-            mixed = now.groupBy("col").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("col")
-            left = materialise(now.join(mixed, "col", "left_semi"), "left")
-            x = left.select("col", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            y = left.select("col", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+            x = now.select("col", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+            y = now.select("col", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
             rest = lambda c: F.ceil(F.col(c) * num / den)
             pairs = x.join(y, "col").where("a < b and ca <> cb").where(fits).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c"))
             pairs = pairs.where(F.col("c") + F.greatest(rest("na"), rest("nb")) - 1 >= F.ceil((F.col("na") + F.col("nb")) * num / (num + den)) - 1).select("a", "na", "b", "nb")
         good = materialise(_verified(pairs, texts, k, num, den), "links")
         links = good if links is None else links.unionByName(good)
         comp = materialise(connected(links), "components")
-        if step < STAR_ROUNDS:
-            alone = block.select(F.col("sig").alias("node")).distinct().join(comp, "node", "left_anti").withColumn("comp", F.col("node"))
-            comp = materialise(comp.unionByName(alone), "components")
     degree = links.select(F.col("a").alias("sig")).unionAll(links.select(F.col("b").alias("sig"))).groupBy("sig").agg(F.count("*").alias("n_links"))
     of = reps.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     label = of.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -213,4 +221,4 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     joined = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
-    return joined.mapInArrow(overlap, "a long, b long")
+    return joined.mapInArrow(overlap, "a long, b long").distinct()
