@@ -6,7 +6,7 @@ column among their first n - ceil(t n) + 1 columns, so the product runs over tha
 when its sizes cannot reach t, or when the overlap accumulated in the leading block plus all that may follow stays below
 t / (1 + t) (|a| + |b|). Survivors get their exact overlap from the words themselves.
 
-Groups of near copies are not expanded into all pairs: two star rounds first compare each set with one hub per column, linked
+Groups of near copies are not expanded into all pairs: star rounds first compare each set with a few hubs (at first the set nearest to the origin of its group), linked
 sets are contracted into components, and only pairs between different components are multiplied out afterwards. No
 column, partner or candidate is dropped, so components equal those of the full link graph.
 
@@ -33,6 +33,7 @@ from clausework.llm._store import materialise
 HEAVY_SHARE = 0.0005
 HEAVY_LEAST = 8
 STAR_ROUNDS = 2
+HUBS = 4
 #: Up to so many (set, document) pairs, 16 bytes each, the texts to verify are picked by a broadcast; beyond, by a shuffled join.
 BROADCAST_ROWS = 2_000_000
 
@@ -161,7 +162,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     entries = entries.withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("sig"), F.lit(4096))).otherwise(F.lit(-1))).repartition("col", "salt")
     own = Window.partitionBy("col", "salt")
     light = entries.withColumns({"low": F.min("sig").over(own), "high": F.max("sig").over(own)}).where("heavy or low < high")
-    block = materialise(light.select("col", "sig", "n").dropDuplicates(["col", "sig"]), "block")
+    block = materialise(light.select("col", "sig", "n").dropDuplicates(["col", "sig"]), "shared")
+    block = materialise(block.join(block.groupBy("sig").agg(F.count("*").alias("deg")), "sig"), "block")
     reps = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     wanted = materialise(block.select("sig").distinct().join(reps, "sig"), "wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
@@ -173,16 +175,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         if comp is not None:  # columns within one component have nothing left to join
             mixed = now.groupBy("col").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("col")
             now = materialise(now.join(mixed, "col", "left_semi"), "now")
-            block = now.select("col", "sig", "n")
+            block = now.drop("comp")
         if step < STAR_ROUNDS:
-            hub = now.groupBy("col").agg(F.min(F.struct(F.xxhash64(F.col("comp"), F.lit(step)).alias("p"), "comp", "sig", "n")).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-            pairs = now.join(hub, "col").where("comp <> h.comp").select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("h.sig").alias("b"), F.col("h.n").alias("nb")).where(fits).distinct()
+            # first the set with most shared columns, which is nearest to what its group was copied from; then others at random
+            first = -F.col("deg") if step == 0 else F.xxhash64("sig", "col", F.lit(step))
+            hub = now.groupBy("col").agg(F.min(F.struct(first.alias("p"), "comp", "sig", "n")).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+            pairs = now.join(hub, "col").where("comp <> h.comp").select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("h.sig").alias("b"), F.col("h.n").alias("nb")).where(fits)
+            # each set meets the few hubs that it shares most columns with; whatever else it may link to is left to the last round
+            met = pairs.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c"))
+            few = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))
+            pairs = met.withColumn("i", few).where(F.col("i") <= HUBS).select("a", "b")
         else:
             x = now.select("col", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
             y = now.select("col", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
             rest = lambda c: F.ceil(F.col(c) * num / den)
             pairs = x.join(y, "col").where("a < b and ca <> cb").where(fits).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c"))
-            pairs = pairs.where(F.col("c") + F.greatest(rest("na"), rest("nb")) - 1 >= F.ceil((F.col("na") + F.col("nb")) * num / (num + den)) - 1).select("a", "na", "b", "nb")
+            pairs = pairs.where(F.col("c") + F.greatest(rest("na"), rest("nb")) - 1 >= F.ceil((F.col("na") + F.col("nb")) * num / (num + den)) - 1).select("a", "b")
         good = materialise(_verified(pairs, texts, k, num, den), "links")
         links = good if links is None else links.unionByName(good)
         comp = materialise(connected(links), "components")
