@@ -39,3 +39,27 @@ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT doc_id AS a, doc_id AS b FROM g UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT g.doc_id, CAST(len(gs) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM g JOIN r ON r.a = g.doc_id GROUP BY g.doc_id, gs
 """
+
+
+@_query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from clausework.llm.substring_dedup import remove_repeats
+
+    cut = remove_repeats(table(spark, sf_dir, "documents"), width=13)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE["op2_substring_dedup"] = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents),
+x AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13),
+v AS (SELECT doc_id, i, array_to_string(ws[i:i+12], ' ') AS win FROM x),
+m AS (SELECT win, min(doc_id) AS least FROM v GROUP BY win),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM v JOIN m USING (win) WHERE least < doc_id),
+l AS (SELECT doc_id, list(pos) AS gone FROM c GROUP BY doc_id),
+k AS (SELECT w.doc_id, ws, coalesce(gone, []) AS gone FROM w LEFT JOIN l USING (doc_id)),
+kept AS (SELECT u.doc_id, string_agg(u.word, ' ' ORDER BY u.i) AS t FROM (SELECT doc_id, i, ws[i] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)) u
+  ANTI JOIN c ON c.doc_id = u.doc_id AND c.pos = u.i GROUP BY u.doc_id)
+SELECT k.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM k LEFT JOIN kept USING (doc_id)
+"""
