@@ -63,3 +63,45 @@ kept AS (SELECT u.doc_id, string_agg(u.word, ' ' ORDER BY u.i) AS t FROM (SELECT
   ANTI JOIN c ON c.doc_id = u.doc_id AND c.pos = u.i GROUP BY u.doc_id)
 SELECT k.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM k LEFT JOIN kept USING (doc_id)
 """
+
+
+@_query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausework.llm.quality_rules import verdicts
+
+    return verdicts(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op3_quality_rules"] = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, {_WORDS.format("text")} AS ws FROM documents),
+v AS (SELECT doc_id, array_to_string(ws[i:i+7], ' ') AS win, i FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d WHERE len(ws) >= 8)),
+m AS (SELECT doc_id, win FROM v GROUP BY ALL HAVING count(*) > 1),
+p AS (SELECT doc_id, count(DISTINCT pos) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS pos FROM v JOIN m USING (doc_id, win)) GROUP BY doc_id),
+l AS (SELECT doc_id, host, t, line, {_WORDS.format("line")} AS lw FROM (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS line FROM d)),
+k AS (SELECT *, regexp_replace(trim(regexp_replace(lower(line), '[\\x20\\x09-\\x0D]+', ' ', 'g')), '[0-9]', '0', 'g') AS norm FROM l WHERE len(lw) > 0),
+u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM k GROUP BY doc_id),
+h AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host),
+o AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT t) AS n FROM k GROUP BY 1, 2) JOIN h USING (host) WHERE n >= 20 AND n > 0.05 * docs),
+c AS (SELECT doc_id, sum(len(lw)) AS cut FROM k JOIN o USING (host, norm) GROUP BY doc_id),
+b AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(cut, 0) AS BIGINT) AS n_cut_words
+  FROM d LEFT JOIN p USING (doc_id) LEFT JOIN u USING (doc_id) LEFT JOIN c USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (n_words - n_cut_words < 20 AND 2 * (n_words - n_cut_words) < n_words) AS kept FROM b
+"""
+
+
+@_query
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausework.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausework.llm.toxicity import toxicity
+
+    out = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", "worst_start", "worst_end")
