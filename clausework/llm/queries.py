@@ -105,3 +105,17 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted", "worst_start", "worst_end")
+
+
+@_query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausework.llm.pii import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausework.llm.lm_scoring import score
+
+    return score(table(spark, sf_dir, "documents"))
