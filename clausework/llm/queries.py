@@ -119,3 +119,24 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausework.llm.lm_scoring import score
 
     return score(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausework.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausework.llm.sentencepiece_codec import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausework.llm.secret_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
