@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausework.llm._store import materialise
+
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 LINE_LEAST = 20
@@ -92,7 +94,9 @@ def rules_applied(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines, often = boilerplate(docs, id_col, text_col, host_col)
     gone = lines.join(often, ["host", "lh"]).groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
     gone = gone.select(F.col("doc_id").alias("_d"), F.col("tid").alias("_tid"), "_gone")
-    base = base_counts(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).withColumn("_tk", F.xxhash64(F.coalesce("text", F.lit(""))))).where("base_failed").select("_id", "_tk").distinct()
+    base = base_counts(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).withColumn("_tk", F.xxhash64(F.coalesce("text", F.lit(""))))).select("_id", "_tk", "base_failed")
+    # written before it is filtered: a filter pushed into the array expressions would evaluate them once per element
+    base = materialise(base, "base").where("base_failed").select("_id", "_tk").distinct()
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     kept = docs.withColumn("_k", key).join(base, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_tk")), "left_anti")
     kept = kept.join(gone, kept[id_col].eqNullSafe(gone["_d"]) & (kept["_k"] == gone["_tid"]), "left")
