@@ -71,6 +71,7 @@ def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = d.withColumn("tid", F.xxhash64("t"))
     lines = d.select("doc_id", "host", "tid", F.posexplode(F.split("t", "\n", -1)).alias("pos", "line")).where(_has_word(F.col("line")))
     lines = lines.select("doc_id", "host", "tid", "pos", F.xxhash64(normal_line(F.col("line"))).alias("lh"), F.size(words_of(F.col("line"))).alias("lw"))
+    lines = materialise(lines, "lines")  # read twice: hashes and sizes, far less than the texts
     size = d.groupBy("host", "tid").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("docs"))
     seen = lines.groupBy("host", "lh", "tid").agg(F.lit(1).alias("one")).groupBy("host", "lh").agg(F.count("*").alias("n")).where(F.col("n") >= LINE_LEAST)
     often = seen.join(size, "host").where(F.col("n") > LINE_SHARE * F.col("docs")).select("host", "lh")

@@ -1,0 +1,196 @@
+"""The other operators against brute force, the public library, round trips or held-out figures; edge cases of each."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+SF = "/root/testdata/sf0.001"
+EDGE = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (4, "one"), (5, "x" * 30000), (6, "ab " * 9000)]
+SCHEMA = "doc_id long, text string, source string, n long, score double, ids string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, None, 1, 0.5, "x") for i, t in rows], SCHEMA)
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def test_substring_dedup(spark):
+    from clausework.llm.substring_dedup import remove_repeats
+
+    rnd = random.Random(3)
+    shared = " ".join(f"s{i}" for i in range(30))
+    rows = [(i, " ".join(rnd.choice("abcdefgh") + str(rnd.randrange(50)) for _ in range(40)) + (" " + shared if i % 3 == 0 else "")) for i in range(10, 40)]
+    rows += [(50, rows[0][1]), *[x for x in EDGE if x[0] not in (4,)], (7, "ab " * 20)]
+    first = {}
+    for i, t in rows:
+        ws = words(t)
+        for j in range(len(ws) - 4):
+            first[tuple(ws[j : j + 5])] = min(i, first.get(tuple(ws[j : j + 5]), i))
+    want = {}
+    for i, t in rows:
+        ws = words(t)
+        gone = {j + k for j in range(len(ws) - 4) if first[tuple(ws[j : j + 5])] < i for k in range(5)}
+        want[i] = (len(ws), len(gone), " ".join(x for j, x in enumerate(ws) if j not in gone))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in remove_repeats(frame(spark, rows), 5).collect()}
+    assert got == want
+    assert remove_repeats(frame(spark, rows).limit(0), 5).count() == 0
+
+
+def test_quality_rules(spark):
+    from clausework.llm.quality_rules import rules_applied, verdicts
+
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    rows = [(100 + i, f"{body(i)}\nsame old line 7") for i in range(30)] + [(200, "a few\nsame old line 9"), *EDGE]
+    got = {r.doc_id: r for r in verdicts(frame(spark, rows)).collect()}
+    assert got[100].kept and got[100].n_cut_words == 4 and not got[200].kept and not got[1].kept
+    assert got[6].n_repeat_words == 9000 and got[6].base_failed
+    kept = {r.doc_id: r.text for r in rules_applied(frame(spark, rows)).collect()}
+    assert set(kept) == {100 + i for i in range(30)} and kept[100] == body(0)
+    assert verdicts(frame(spark, []).limit(0)).count() == 0
+
+
+def test_toxicity_held_out(spark):
+    from clausework.llm.toxicity import toxicity
+
+    rnd = random.Random(1)
+    rows, labels = list(EDGE[:3]), []
+    for i in range(10, 500):
+        sents = [" ".join(rnd.choice("abcdefghij") * 3 for _ in range(8)) for _ in range(5)]
+        bad = i % 5 == 1
+        if bad:
+            sents[2] += " " + rnd.choice(["scum", "idiot"])
+        rows.append((i, ". ".join(sents)))
+        labels.append((i, int(bad)))
+    out = toxicity(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    truth = dict(labels)
+    held = [r for r in out if r.held_out and r.doc_id in truth]
+    assert len(held) > 40 and all(r.predicted == truth[r.doc_id] for r in held)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in out)
+
+
+@pytest.mark.parametrize(
+    ("text", "base", "more"),
+    [
+        ("a@b.com_x@y.org 1.2.3.4 x", ["a@b.com", "_x@y.org", "1.2.3.4"], []),
+        ("jo (at) example (dot) com", [], ["jo (at) example (dot) com"]),
+        ("plus one six one four five five five zero one nine nine", [], ["plus one six one four five five five zero one nine nine"]),
+        ("аdmin@exаmple.com", [], ["аdmin@exаmple.com"]),
+        ("meet at noon, one two, 300.1.1.1 and 1.1.1", [], []),
+        ("4111 1111 1111 1111", ["4111 1111 1111 1111"], []),
+        ("+1 (614) 555-8001 ok", ["+1 (614) 555-8001"], []),
+    ],
+)
+def test_pii_spans(text, base, more):
+    from clausework.llm.pii import spans_of
+
+    b, a = spans_of(text)
+    assert [text[x:y] for _, x, y in b] == base
+    assert [text[x:y] for k, x, y in a if (k, x, y) not in b] == more
+
+
+def test_pii_redacts_and_keeps_columns(spark):
+    from clausework.llm.pii import find, redact
+
+    df = frame(spark, [*EDGE, (9, "x jo@a.bc y")])
+    out = {r.doc_id: r for r in redact(df, size_col=None).collect()}
+    assert out[9].text == "x [EMAIL] y" and out[1].text is None and out[9].ids == "x"
+    assert {r.doc_id: r.spans for r in find(df).collect()}[9] == "email:2:9"
+    assert find(df.limit(0)).count() == 0
+
+
+def test_token_counts(spark, tmp_path):
+    from clausework.llm.token_counts import _encoding, VOCABULARY, count_tokens, document_counts, read_blocks
+
+    docs = frame(spark, [*EDGE[:4], (9, "hello world " * 500)])
+    got = {r.doc_id: r.n_tokens for r in count_tokens(docs, block_tokens=64).collect()}
+    enc = _encoding(VOCABULARY)
+    assert got == {i: len(enc.encode_ordinary(t or "")) for i, t in [*EDGE[:4], (9, "hello world " * 500)]}
+    rnd = np.random.default_rng(0)
+    flat = rnd.integers(0, 6, 1000).astype("<u2")
+    (tmp_path / "a.bin").write_bytes(flat.tobytes())
+    rows = sorted((r.ordinal, r.start, r.n_tokens, r.complete) for r in document_counts(read_blocks(spark, str(tmp_path), block_tokens=7), end=0, block_tokens=7).collect())
+    want, start = [], 0
+    for i in [*np.flatnonzero(flat == 0), 1000]:
+        if i < 1000 or start < 1000:
+            want.append((len(want), start, int(i) - start, i < 1000))
+        start = int(i) + 1
+    assert rows == want
+
+
+def test_lm_scores(spark):
+    from clausework.llm.lm_scoring import Model, score
+
+    rnd = random.Random(2)
+    rows = [(i, " ".join((rnd.choice("abc") if i % 2 else rnd.choice("xyz")) for _ in range(60)) + f" Rare{i}") for i in range(300)] + [(900, None), (901, "")]
+    out = score(frame(spark, rows), classes=8).collect()
+    held = [r for r in out if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    c = Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            c.update([*words((t or "").lower()), None])
+    n, v, of = sum(c.values()), len(c), {r.doc_id: r for r in out}
+    for i, t in rows:
+        tk = [*words((t or "").lower()), None]
+        assert of[i].n_tokens == len(tk) and of[i].train_tokens == n and of[i].n_known == sum(c[x] > 0 for x in tk)
+        assert math.isclose(of[i].base_score, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in tk), rel_tol=1e-9)
+    m = Model(np.sort(np.arange(1, 6, dtype=np.uint64)), np.ones(5), 3)
+    one, two, bias, z = m.tables()  # probabilities of every context sum to 1
+    assert np.allclose(np.exp(one[:, None, :] + two[None, :, :] + bias - z[:, :, None]).sum(-1), 1)
+
+
+def test_sentencepiece_equals_the_library(spark):
+    import sentencepiece
+
+    from clausework.llm.sentencepiece_codec import MODEL, codec, decode, digest, encode
+
+    sp, own = sentencepiece.SentencePieceProcessor(model_file=MODEL), codec(MODEL)
+    texts = [t or "" for _, t in EDGE if len(t or "") < 20000] + ["a  b\n c", "日本 émoji 😀", "x\n\n y", "q" * 300] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(50).collect()]
+    assert [x.tolist() for x in own.encode(texts)] == [sp.encode(t) for t in texts]
+    df = frame(spark, EDGE)
+    assert {(r.doc_id, r.text) for r in decode(encode(df)).collect()} == {(i, t) for i, t in EDGE}
+    assert all(r.round_trip for r in digest(df).collect()) and digest(df.limit(0)).count() == 0
+
+
+def test_decontamination(spark):
+    from clausework.llm.decontaminate import contaminated, decontaminated
+
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    items = [(i, " ".join(word() for _ in range(20 + i))) for i in range(5)] + [(9, "tiny item"), (10, None), (11, "")]
+    rows = [(100 + i, " ".join(word() for _ in range(50)) + " " + items[i][1].upper() + ", " + word()) for i in range(5)]
+    rows += [(200, " ".join(word() for _ in range(60))), (201, items[0][1][:40]), (202, "a tiny item here"), *EDGE]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start, r.similarity) for r in contaminated(frame(spark, rows), bench).collect())
+    assert got == [(100 + i, i, 50, 1.0) for i in range(5)] + [(202, 9, 1, 1.0)]
+    kept = {r.doc_id for r in decontaminated(frame(spark, rows), bench).collect()}
+    assert kept == {i for i, _ in rows} - {100, 101, 102, 103, 104, 202}
+
+
+def test_secret_scan(spark):
+    from clausework.llm.secret_scan import scan
+
+    rnd = random.Random(6)
+    rows = [(i, f'some plain words here token = "{hashlib.sha1(str(i).encode()).hexdigest()}" end') for i in range(40)]
+    rows += [(100 + i, "card " + "".join(rnd.choice("0123456789") for _ in range(16)) + " paid") for i in range(40)] + EDGE
+    out = scan(frame(spark, rows)).collect()
+    assert {r.doc_id for r in out if r.is_secret} == set(range(40))
+    assert scan(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_pipeline_keeps_clean_documents(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, SF)
+    ids = [r.doc_id for r in out.select("doc_id").collect()]
+    assert len(ids) == len(set(ids)) > 100 and out.where(~F.col("round_trip")).count() == 0
