@@ -32,7 +32,7 @@ def read_blocks(spark: SparkSession, path: str, token_bytes: int = 2, block_toke
     """(stream, block, data) of flat token files (each below 2 GB, Spark's limit for one binary value)."""
     size = block_tokens * token_bytes
     files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("path").alias("stream"), "content", "length")
-    cut = files.select("stream", "content", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("length") - 1) / F.lit(size)).cast("array<long>")).alias("block"))
+    cut = files.select("stream", "content", F.expr(f"explode(sequence(0L, (length - 1) div {size}))").alias("block"))
     return cut.select("stream", "block", F.expr(f"substring(content, cast(block * {size} + 1 as int), {size})").alias("data"))
 
 

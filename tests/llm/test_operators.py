@@ -49,7 +49,7 @@ def test_substring_dedup(spark):
 def test_quality_rules(spark):
     from clausework.llm.quality_rules import rules_applied, verdicts
 
-    body = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    body = lambda i: " ".join(f"{chr(97 + i // 26)}{chr(97 + i % 26)}x{j}" for j in range(40))
     rows = [(100 + i, f"{body(i)}\nsame old line 7") for i in range(30)] + [(200, "a few\nsame old line 9"), *EDGE]
     got = {r.doc_id: r for r in verdicts(frame(spark, rows)).collect()}
     assert got[100].kept and got[100].n_cut_words == 4 and not got[200].kept and not got[1].kept
