@@ -4,7 +4,8 @@ Rows of the matrix are distinct shingle sets (equal sets collapse into one class
 Columns are ordered from rare to heavy; a set of n shingles can only reach the threshold t with another if both have a common
 column among their first n - ceil(t n) + 1 columns, so the product runs over that leading block alone. A pair is discarded
 when its sizes cannot reach t, or when the overlap accumulated in the leading block plus all that may follow stays below
-t / (1 + t) (|a| + |b|). Survivors get their exact overlap from the words themselves.
+t / (1 + t) (|a| + |b|); of two sets, the one whose leading block ends first bounds the overlap by its columns that other components
+share, before any pair is emitted. Survivors get their exact overlap from the words themselves.
 
 Groups of near copies are not expanded into all pairs: star rounds first compare each set with a few hubs (at first the set nearest to the origin of its group), linked
 sets are contracted into components, and only pairs between different components are multiplied out afterwards. No
@@ -32,8 +33,10 @@ from clausework.llm._store import materialise
 #: A column is heavy from this share of a partition's sets; at most (average set size / share) columns can be.
 HEAVY_SHARE = 0.0005
 HEAVY_LEAST = 8
-STAR_ROUNDS = 2
 HUBS = 4
+#: Hub rounds go on while the last product would make more rows than this many times its entries, and each round divides it by PRODUCT_GAIN.
+PRODUCT_SHARE = 4
+PRODUCT_GAIN = 4
 #: Up to so many (set, document) pairs, 16 bytes each, the texts to verify are picked by a broadcast; beyond, by a shuffled join.
 BROADCAST_ROWS = 2_000_000
 
@@ -131,7 +134,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         heavy, times = rank.value
         seen = set()
         for batch in batches:
-            cols, sigs, sizes, known = [], [], [], []
+            cols, sigs, sizes, known, limits = [], [], [], [], []
             for _, u in _sets(batch.column(0), k):
                 if not len(u):
                     continue
@@ -148,21 +151,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
                         by = np.argsort(weight, kind="stable")[:p]
                         u, weight = u[by], weight[by]
                     known.append(weight[:p] > 0)
+                    last = int(weight[p - 1])
                 else:
                     known.append(np.zeros(p, bool))
+                    last = 0
+                limits.append(last << 24 | int(u[p - 1]) >> 40)
                 cols.append(u[:p])
                 sigs.append(sig)
                 sizes.append(n)
             if cols:
                 lens = [len(c) for c in cols]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols).view(np.int64)), pa.array(np.repeat(np.array(sigs, np.int64), lens)), pa.array(np.repeat(np.array(sizes, np.int32), lens)), pa.array(np.concatenate(known))], names=["col", "sig", "n", "heavy"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols).view(np.int64)), pa.array(np.repeat(np.array(sigs, np.int64), lens)), pa.array(np.repeat(np.array(sizes, np.int32), lens)), pa.array(np.concatenate(known)), pa.array(np.repeat(np.array(limits, np.int64), lens))], names=["col", "sig", "n", "heavy", "lim"])
 
-    entries = docs.select("text").mapInArrow(lead, "col long, sig long, n int, heavy boolean")
+    entries = docs.select("text").mapInArrow(lead, "col long, sig long, n int, heavy boolean, lim long")
     # a column that only one set has multiplies to nothing; heavy ones are shared for certain, so their rows are dealt with salt
     entries = entries.withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("sig"), F.lit(4096))).otherwise(F.lit(-1))).repartition("col", "salt")
     own = Window.partitionBy("col", "salt")
     light = entries.withColumns({"low": F.min("sig").over(own), "high": F.max("sig").over(own)}).where("heavy or low < high")
-    block = materialise(light.select("col", "sig", "n").dropDuplicates(["col", "sig"]), "shared")
+    block = materialise(light.select("col", "sig", "n", "lim").dropDuplicates(["col", "sig"]), "shared")
     block = materialise(block.join(block.groupBy("sig").agg(F.count("*").alias("deg")), "sig"), "block")
     reps = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     wanted = materialise(block.select("sig").distinct().join(reps, "sig"), "wanted")
@@ -170,13 +176,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     texts = materialise(docs.join(few, "doc_id").select("sig", "text"), "texts")
     comp = links = None
     fits = (F.col("na") * num <= F.col("nb") * den) & (F.col("nb") * num <= F.col("na") * den)
-    for step in range(STAR_ROUNDS + 1):
+    last, step, star = None, 0, True
+    while star:
         now = block.withColumn("comp", F.col("sig")) if comp is None else block.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-        if comp is not None:  # columns within one component have nothing left to join
-            mixed = now.groupBy("col").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("col")
+        # columns within one component have nothing left to join; of the others, how many rows would their product have
+        mixed = materialise(_mixed(now), "mixed")
+        if comp is not None:
             now = materialise(now.join(mixed, "col", "left_semi"), "now")
             block = now.drop("comp")
-        if step < STAR_ROUNDS:
+        entries, product = _product(mixed)
+        star = product > PRODUCT_SHARE * entries and (last is None or PRODUCT_GAIN * product < last)
+        last = product
+        if star:
             # first the set with most shared columns, which is nearest to what its group was copied from; then others at random
             first = -F.col("deg") if step == 0 else F.xxhash64("sig", "col", F.lit(step))
             hub = now.groupBy("col").agg(F.min(F.struct(first.alias("p"), "comp", "sig", "n")).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
@@ -186,11 +197,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             few = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))
             pairs = met.withColumn("i", few).where(F.col("i") <= HUBS).select("a", "b")
         else:
-            x = now.select("col", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            y = now.select("col", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            rest = lambda c: F.ceil(F.col(c) * num / den)
-            pairs = x.join(y, "col").where("a < b and ca <> cb").where(fits).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c"))
-            pairs = pairs.where(F.col("c") + F.greatest(rest("na"), rest("nb")) - 1 >= F.ceil((F.col("na") + F.col("nb")) * num / (num + den)) - 1).select("a", "b")
+            # overlap = columns shared in the leading block of the set whose block ends first, plus at most all its others
+            shared = now.groupBy("sig").agg(F.count("*").alias("m")).select("sig", "m")
+            now = now.join(shared, "sig").withColumn("most", F.col("m") + F.expr(f"(n * {num} + {den} - 1) div {den} - 1"))
+            x, y = (now.select("col", *(F.col(c).alias(c + t) for c in ("sig", "n", "comp", "lim", "most"))) for t in "ab")
+            least = F.when(F.col("lima") < F.col("limb"), F.col("mosta")).when(F.col("limb") < F.col("lima"), F.col("mostb")).otherwise(F.greatest("mosta", "mostb"))
+            need = (F.col("na") + F.col("nb")) * num
+            pairs = x.join(y, "col").where("siga < sigb and compa <> compb").where(fits & (least * (num + den) >= need))
+            pairs = pairs.groupBy(F.col("siga").alias("a"), "na", F.col("sigb").alias("b"), "nb").agg(F.count("*").alias("c"))
+            room = F.expr(f"(greatest(na, nb) * {num} + {den} - 1) div {den} - 1")
+            pairs = pairs.where((F.col("c") + room) * (num + den) >= need).select("a", "b")
+        step += 1
         good = materialise(_verified(pairs, texts, k, num, den), "links")
         links = good if links is None else links.unionByName(good)
         comp = materialise(connected(links), "components")
@@ -202,6 +219,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     return full.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("set_id"), F.lit(0).cast("long").alias("n_links")))
 
 
+def _mixed(now: DataFrame) -> DataFrame:
+    """(col, m, q): columns shared by several components, their entries, and the ordered pairs of entries of different components."""
+    each = now.groupBy("col", "comp").agg(F.count("*").alias("m"))
+    return each.groupBy("col").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own")).where("m * m > own").select("col", "m", (F.col("m") * F.col("m") - F.col("own")).alias("q"))
+
+
+def _product(mixed: DataFrame) -> tuple[int, int]:
+    """Entries of the mixed columns and the rows that multiplying them out would make at most."""
+    r = mixed.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.coalesce(F.sum("q"), F.lit(0)).alias("q")).first()
+    return int(r["m"]), int(r["q"]) // 2
+
+
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     u, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     return u, np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
