@@ -34,7 +34,7 @@ from clausework.llm._store import materialise
 HEAVY_SHARE = 0.0005
 HEAVY_LEAST = 8
 HUBS = 4
-#: Hub rounds go on while the last product would make more rows than this many times its entries, and each round divides it by PRODUCT_GAIN.
+#: After the first, hub rounds go on while the last product would make more rows than this many times its entries, and each round divides it by PRODUCT_GAIN.
 PRODUCT_SHARE = 4
 PRODUCT_GAIN = 4
 #: Up to so many (set, document) pairs, 16 bytes each, the texts to verify are picked by a broadcast; beyond, by a shuffled join.
@@ -185,7 +185,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             now = materialise(now.join(mixed, "col", "left_semi"), "now")
             block = now.drop("comp")
         entries, product = _product(mixed)
-        star = product > PRODUCT_SHARE * entries and (last is None or PRODUCT_GAIN * product < last)
+        star = last is None or product > PRODUCT_SHARE * entries and PRODUCT_GAIN * product < last
         last = product
         if star:
             # first the set with most shared columns, which is nearest to what its group was copied from; then others at random
