@@ -34,6 +34,8 @@ from clausework.llm._store import materialise
 HEAVY_SHARE = 0.0005
 HEAVY_LEAST = 8
 HUBS = 4
+#: Frequent columns are counted in runs of sets with so many shingles (8 bytes each), whatever the size of a partition.
+SEGMENT_GRAMS = 1 << 20
 #: After the first, hub rounds go on while the last product would make more rows than this many times its entries, and each round divides it by PRODUCT_GAIN.
 PRODUCT_SHARE = 4
 PRODUCT_GAIN = 4
@@ -99,26 +101,31 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def scan(batches):
-        seen, heavy, total = set(), [], 0
+        seen, some, grams = set(), [], 0
+
+        def counted():
+            u, c = np.unique(np.concatenate(some), return_counts=True)
+            often = c >= max(HEAVY_LEAST, int(len(some) * HEAVY_SHARE))
+            u, c = u[often], c[often]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int64()), pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["doc_id", "n", "sig", "times"])
+
         for batch in batches:
-            ids, sizes, sigs, some = batch.column(0), [], [], []
+            ids, sizes, sigs = batch.column(0), [], []
             for _, u in _sets(batch.column(1), k):
                 sig = _signature(u) if len(u) else 0
                 sizes.append(len(u))
                 sigs.append(sig)
                 if len(u) and sig not in seen:
                     seen.add(sig)
-                    total += 1
                     some.append(u)
-            if some:
-                heavy.append(np.unique(np.concatenate(some), return_counts=True))
-                heavy = [_merge(heavy)] if len(heavy) > 1 else heavy
+                    grams += len(u)
+                    if grams >= SEGMENT_GRAMS:
+                        yield counted()
+                        some, grams = [], 0
             n = len(sizes)
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(n, pa.int64())], names=["doc_id", "n", "sig", "times"])
-        if heavy:
-            least = max(HEAVY_LEAST, int(total * HEAVY_SHARE))
-            u, c = (x[heavy[0][1] >= least] for x in heavy[0])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int64()), pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["doc_id", "n", "sig", "times"])
+        if some:
+            yield counted()
 
     scanned = materialise(docs.mapInArrow(scan, "doc_id long, n long, sig long, times long"), "sets")
     sets = scanned.where(F.col("times").isNull()).select("doc_id", "n", "sig")
@@ -231,11 +238,6 @@ def _product(mixed: DataFrame) -> tuple[int, int]:
     return int(r["m"]), int(r["q"]) // 2
 
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    u, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return u, np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs whose exact overlap reaches the threshold; (a, b)."""
     a = texts.select(F.col("sig").alias("a"), F.col("text").alias("ta"))
