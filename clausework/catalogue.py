@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clausework.functions import text as tx
 from clausework.operators import joins, windows
+from clausework.plans import group_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -242,3 +243,7 @@ def html_blocks(spark, d):
     from clausework.sources.files import html_text
 
     return _t(spark, d, "pages").select("page_id", html_text(F.col("html")).alias("text"))
+
+
+QUERIES |= group_queries.QUERIES
+ORACLE |= group_queries.ORACLE
