@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausework.llm import _words as w
+from clausework.llm._store import materialise
 
 FEATURE_BITS = 18
 TRAIN_DOCS = 12_000
@@ -31,10 +32,10 @@ _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tru
 _JUNK = np.frombuffer(bytes(x if _WORD[x] else 32 for x in range(256)), np.uint8)
 
 
-def bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, list[tuple[int, int, int]]]:
+def bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]:
     """Per distinct (sentence, feature): sentence and feature; per sentence: document; number of documents; spans."""
     buf, off = w.utf8(column)
-    sents, feats, docs, base, where = [], [], [], 0, []
+    codes, docs, base, where = [], [], 0, []
     for a, b, part, at in w.chunks(buf, off):
         start, end, doc = w.spans(_JUNK[part], at)
         h = w.word_hashes(part, start, end, lower=True)
@@ -45,17 +46,15 @@ def bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, lis
         sent = np.cumsum(new) - 1
         owner = doc[new] + a
         firsts = np.flatnonzero(new)
-        lasts = np.append(firsts[1:], len(start)) - 1
-        where += zip((doc[new] + a).tolist(), (start[firsts] - at[doc[new]]).tolist() if len(firsts) else [], (end[lasts] - at[doc[new]]).tolist() if len(firsts) else [], strict=True)
-        sents.append(sent + base)
-        feats.append((h >> np.uint64(64 - FEATURE_BITS)).astype(np.int64))
+        lasts = np.append(firsts[1:], len(start))[: len(firsts)] - 1
+        where.append(np.stack([owner, start[firsts] - at[doc[new]], end[lasts] - at[doc[new]]], 1))
+        feat = (h >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
+        codes.append(np.unique((sent + base) << FEATURE_BITS | feat))  # sentences lie within a chunk
         docs.append(owner)
         base += len(owner)
-    n = len(off) - 1
-    owner = np.concatenate([*docs, np.zeros(0, np.int64)])
-    s, f = np.concatenate([*sents, np.zeros(0, np.int64)]), np.concatenate([*feats, np.zeros(0, np.int64)])
-    code = np.unique((s << FEATURE_BITS) | f)
-    return code >> FEATURE_BITS, code & ((1 << FEATURE_BITS) - 1), owner, n, where
+    code = np.concatenate([*codes, np.zeros(0, np.int64)])
+    owner, spans = np.concatenate([*docs, np.zeros(0, np.int64)]), np.concatenate([*where, np.zeros((0, 3), np.int64)])
+    return code >> FEATURE_BITS, code & ((1 << FEATURE_BITS) - 1), owner, len(off) - 1, spans
 
 
 def _forward(weights: np.ndarray, bias: float, sent: np.ndarray, feat: np.ndarray, owner: np.ndarray, n: int):
@@ -103,7 +102,8 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     lab = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
     lab = lab.orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_DOCS)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(lab), "_id")
-    rows = rows.select("t", "y", F.xxhash64("_id").alias("o")).toLocalIterator(prefetchPartitions=False)
+    # written in one distributed job, so that the driver reads only the sample, in order of the hash
+    rows = materialise(rows.select("t", "y", F.xxhash64("_id").alias("o")), "sample").orderBy("o", "t").select("t", "y").toLocalIterator(prefetchPartitions=False)
     texts, ys, left = [], [], TRAIN_BYTES
     for r in rows:
         left -= len(r["t"])
@@ -131,7 +131,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
                     by = np.lexsort((-np.arange(len(p)), p, owner))
                     end = np.append(owner[by][1:] != owner[by][:-1], True)
                     best = by[end]
-                    spans = np.array(where)[best]
+                    spans = where[best]
                     first[owner[best]], last[owner[best]], top[owner[best]] = spans[:, 1], spans[:, 2], p[best]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(q), pa.array(first), pa.array(last), pa.array(top)], names=["doc_id", "score", "worst_start", "worst_end", "worst_score"])
 
