@@ -74,7 +74,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     if found is None:
         return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)[id_col]}, item_id {dict(items.dtypes)[item_col]}, start int, n_words int, similarity double")
     laid = materialise(found.distinct(), "laid")
-    win = d.join(_small(laid), "doc_id").select("doc_id", "item_id", "start", "n", shingles(F.slice("ws", F.col("start") + 1, F.col("n")), F.col("k")).alias("sh"))
+    # only texts with a window are cut into words again
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).join(_small(laid.select("doc_id").distinct()), "doc_id", "left_semi")
+    win = texts.select("doc_id", words_of(F.col("t")).alias("ws")).join(_small(laid), "doc_id").select("doc_id", "item_id", "start", "n", shingles(F.slice("ws", F.col("start") + 1, F.col("n")), F.col("k")).alias("sh"))
     win = win.select("doc_id", "item_id", "start", "n", "sh", simhash(F.col("sh")).alias("wp"))
     index = prints.select("item_id", "own", "total", "fp", F.explode(blocks(F.col("fp"))).alias("blk"))
     near = win.withColumn("blk", F.explode(blocks(F.col("wp")))).join(_small(index), ["item_id", "blk"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("wp"))) <= RADIUS)
