@@ -7,7 +7,8 @@ memory is bounded by the chunk and the longest single text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -121,3 +122,19 @@ def unpack(data: bytes, dtype: type) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     width = np.dtype(dtype).itemsize
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).ravel()
+
+
+def released(f: Callable) -> Callable:
+    """f over Arrow batches; afterwards freed memory goes back to the system, as Python workers live on between tasks."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            _powers.clear()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run

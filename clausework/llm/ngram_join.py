@@ -127,7 +127,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         if some:
             yield counted()
 
-    scanned = materialise(docs.mapInArrow(scan, "doc_id long, n long, sig long, times long"), "sets")
+    scanned = materialise(docs.mapInArrow(w.released(scan), "doc_id long, n long, sig long, times long"), "sets")
     sets = scanned.where(F.col("times").isNull()).select("doc_id", "n", "sig")
     ranked = scanned.where(F.col("times").isNotNull()).groupBy("sig").agg(F.sum("times").alias("times"))
     # heavy columns are few by construction (see HEAVY_SHARE), whatever the size of the corpus
@@ -170,7 +170,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
                 lens = [len(c) for c in cols]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols).view(np.int64)), pa.array(np.repeat(np.array(sigs, np.int64), lens)), pa.array(np.repeat(np.array(sizes, np.int32), lens)), pa.array(np.concatenate(known)), pa.array(np.repeat(np.array(limits, np.int64), lens))], names=["col", "sig", "n", "heavy", "lim"])
 
-    entries = docs.select("text").mapInArrow(lead, "col long, sig long, n int, heavy boolean, lim long")
+    entries = docs.select("text").mapInArrow(w.released(lead), "col long, sig long, n int, heavy boolean, lim long")
     # a column that only one set has multiplies to nothing; heavy ones are shared for certain, so their rows are dealt with salt
     entries = entries.withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("sig"), F.lit(4096))).otherwise(F.lit(-1))).repartition("col", "salt")
     own = Window.partitionBy("col", "salt")
@@ -260,4 +260,4 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     joined = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
-    return joined.mapInArrow(overlap, "a long, b long").distinct()
+    return joined.mapInArrow(w.released(overlap), "a long, b long").distinct()

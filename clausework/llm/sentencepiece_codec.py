@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clausework.llm import _words as w
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 CACHE = 400_000
@@ -150,7 +152,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
                 part = batch.slice(i, 4096)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.encode(part.column(1).to_pylist()), pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(w.released(run), f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -161,7 +163,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(x) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(w.released(run), f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 
 def digest(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -180,6 +182,7 @@ def digest(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
                 sha = pa.array([hashlib.sha256(b"" if x is None else x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string())
                 same = pa.array([own.decode(x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], n, sha, same], names=[*keep, "n_tokens", "ids_sha256", "round_trip"])
+        own.stable.clear()  # the worker lives on
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return inner.mapInArrow(run, f"{schema}, n_tokens long, ids_sha256 string, round_trip boolean")
+    return inner.mapInArrow(w.released(run), f"{schema}, n_tokens long, ids_sha256 string, round_trip boolean")
