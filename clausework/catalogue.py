@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clausework.functions import text as tx
 from clausework.operators import joins, windows
-from clausework.plans import group_queries
+from clausework.plans import group_queries, rule_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -247,3 +247,5 @@ def html_blocks(spark, d):
 
 QUERIES |= group_queries.QUERIES
 ORACLE |= group_queries.ORACLE
+QUERIES |= rule_queries.QUERIES
+ORACLE |= rule_queries.ORACLE
