@@ -1,8 +1,8 @@
 r"""Benchmark decontamination with SimHash windows and a multi-index Hamming search; DataFrame expressions only.
 
 Words are lower-cased runs of letters and digits. A window of a document has as many words as the item it is held against.
-Windows are laid where a document and an item share a shingle, so that the shingle's places agree: no other window
-can reach a positive similarity. Each window gets a 64-bit SimHash over its shingles; RADIUS + 1 blocks of the
+Windows are laid, at any start, where the shingles they share with the item weigh at least THRESHOLD of all of the
+item's: the similarity is at most that share, so no other window can reach it, and a search by block alone would add none. Each window gets a 64-bit SimHash over its shingles; RADIUS + 1 blocks of the
 fingerprint index the items, and by the pigeonhole principle a pair within RADIUS bits agrees in a block. Pairs within the
 radius are verified by exact weighted similarity: the weight of the common shingles over the weight of all, a shingle of c
 items weighing 1 / c and one of none 1. RADIUS lies more than four standard deviations above the expected
@@ -15,7 +15,7 @@ give an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausework.llm._store import materialise
@@ -53,34 +53,56 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _starts(hits: Column, n: Column, k: Column, last: Column, least: Column) -> Column:
+    """Starts up to `last` of the windows whose distinct hits (pos, prev, w; by pos) weigh `least` or more. prev: where the shingle was before."""
+    span = n - k
+    weight = lambda i, s: F.aggregate(F.slice(hits, i + 1, span + 1), F.lit(0.0), lambda t, x: t + F.when((x["pos"] <= s + span) & (x["prev"] < s), x["w"]).otherwise(0.0))
+
+    def led(i: Column) -> Column:
+        """Windows whose first hit is number i; the one that starts with it has all hits of the others."""
+        p = F.get(hits, i)["pos"]
+        low, high = F.greatest(F.coalesce(F.get(hits, i - 1)["pos"] + 1, F.lit(0)), p - span), F.least(p, last)
+        return F.when((low <= high) & (weight(i, p) >= least), F.filter(F.sequence(low, F.greatest(low, high)), lambda s: weight(i, s) >= least)).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(hits) - 1), led))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, start (0-based word), n_words, similarity: the best window of each document and item."""
     it = items.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text)).alias("ws")).where("size(ws) > 0").dropDuplicates(["item_id"])
     it = it.withColumn("n", F.size("ws")).withColumn("k", F.least(F.lit(K), "n")).withColumn("sh", shingles(F.col("ws"), F.col("k")))
     it = materialise(it.select("item_id", "n", "k", "sh"), "items")
     weight = it.select("item_id", F.explode(F.array_distinct("sh")).alias("h")).groupBy("h").agg((F.lit(1.0) / F.count("*")).alias("w"))
-    places = materialise(it.select("item_id", "n", "k", F.posexplode("sh").alias("off", "h")), "places")
     weighted = it.select("item_id", F.explode(F.array_distinct("sh")).alias("h")).join(weight, "h").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("h", "w"))).alias("own"), F.sum("w").alias("total"))
     prints = materialise(it.join(weighted, "item_id").select("item_id", "own", "total", simhash(F.col("sh")).alias("fp")), "prints")
+    places = materialise(it.select("item_id", "n", "k", F.explode(F.array_distinct("sh")).alias("h")).join(weight, "h").join(weighted.select("item_id", "total"), "item_id"), "places")
     lengths = [r["k"] for r in it.select("k").distinct().collect()]  # at most K values
-    d = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("ws"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tid"), words_of(F.col(text_col)).alias("ws"))
     small = _small(places)
     found = None
     for k in lengths:
-        hit = d.select("doc_id", F.size("ws").alias("dn"), F.posexplode(shingles(F.col("ws"), F.lit(k))).alias("pos", "h")).join(small.where(F.col("k") == k), "h")
-        at = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("off"), F.col("dn") - F.col("n")))
-        hit = hit.select("doc_id", "item_id", "n", "k", at.alias("start"))
+        hit = d.select("doc_id", "tid", F.size("ws").alias("dn"), F.posexplode(shingles(F.col("ws"), F.lit(k))).alias("pos", "h")).join(small.where(F.col("k") == k), "h")
+        hit = hit.select("doc_id", "tid", "dn", "item_id", "n", "k", "total", "pos", "h", "w")
         found = hit if found is None else found.unionByName(hit)
     if found is None:
         return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)[id_col]}, item_id {dict(items.dtypes)[item_col]}, start int, n_words int, similarity double")
-    laid = materialise(found.distinct(), "laid")
-    # only texts with a window are cut into words again
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).join(_small(laid.select("doc_id").distinct()), "doc_id", "left_semi")
-    win = texts.select("doc_id", words_of(F.col("t")).alias("ws")).join(_small(laid), "doc_id").select("doc_id", "item_id", "start", "n", shingles(F.slice("ws", F.col("start") + 1, F.col("n")), F.col("k")).alias("sh"))
+    one = ["doc_id", "tid", "item_id", "n", "k", "dn", "total"]
+    found = found.repartition("doc_id", "tid", "item_id").distinct()
+    found = found.withColumn("prev", F.coalesce(F.lag("pos").over(Window.partitionBy(*one, "h").orderBy("pos")), F.lit(-1)))
+    found = found.groupBy(*one).agg(F.array_sort(F.collect_list(F.struct("pos", "prev", "w"))).alias("hits"))
+    starts = _starts(F.col("hits"), F.col("n"), F.col("k"), F.greatest(F.lit(0), F.col("dn") - F.col("n")), (THRESHOLD - 1e-6) * F.col("total"))
+    laid = materialise(found.select("doc_id", "tid", "item_id", "n", "k", starts.alias("starts")).where("size(starts) > 0"), "laid")
+    # only texts with a window are cut into words again, once for each shingle length
+    laid = laid.groupBy("doc_id", "tid", "k").agg(F.flatten(F.collect_list(F.transform("starts", lambda s: F.struct(s.alias("start"), "item_id", "n")))).alias("wins"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("t")).join(_small(laid), ["doc_id", "tid"])
+    win = texts.select("doc_id", "k", "wins", words_of(F.col("t")).alias("ws")).select("doc_id", "k", "wins", shingles(F.col("ws"), F.col("k")).alias("all"))
+    win = win.select("doc_id", "k", "all", F.explode("wins").alias("x")).select("doc_id", "x.item_id", "x.start", "x.n", F.slice("all", F.col("x.start") + 1, F.col("x.n") - F.col("k") + 1).alias("sh"))
     win = win.select("doc_id", "item_id", "start", "n", "sh", simhash(F.col("sh")).alias("wp"))
     index = prints.select("item_id", "own", "total", "fp", F.explode(blocks(F.col("fp"))).alias("blk"))
     near = win.withColumn("blk", F.explode(blocks(F.col("wp")))).join(_small(index), ["item_id", "blk"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("wp"))) <= RADIUS)
-    near = near.withColumn("sh", F.array_distinct("sh"))
+    # a pair that agrees in several blocks is verified once, by the first of them
+    agree = F.transform(blocks(F.col("fp").bitwiseXOR(F.col("wp"))), lambda b: b["bits"] == 0)
+    near = near.where(F.array_position(agree, True) == F.col("blk.no") + 1).withColumn("sh", F.array_distinct("sh"))
     both = F.filter("own", lambda s: F.array_contains(F.col("sh"), s["h"]))
     common = F.aggregate(both, F.lit(0.0), lambda a, s: a + s["w"])
     near = near.withColumn("similarity", common / (F.col("total") + F.size("sh") - F.size(both)))

@@ -177,6 +177,38 @@ def test_decontamination(spark):
     assert kept == {i for i, _ in rows} - {100, 101, 102, 103, 104, 202}
 
 
+def test_decontamination_finds_every_window(spark):
+    from clausework.llm.decontaminate import K, contaminated
+
+    rnd = random.Random(5)
+    fresh = iter(range(10**6))
+    new = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    items = {i: new(60) for i in range(3)}
+    items |= {3: items[0][:30] + new(25), 4: (new(3) * 9)[:25] + new(20)}
+    rows = {0: new(20) + items[0][30:] + items[0][:30] + new(20), 1: new(9) + items[1][40:] + items[1][:40], 2: items[2][5:], 3: new(4) + items[3][:28] + new(1) + items[3][29:]}
+    rows |= {4: new(7) + items[4] + items[4][:20] + new(3), 5: items[1][:29] + new(2) + items[1][29:] + new(5)}
+    for i in range(6, 20):
+        x = items[rnd.randrange(5)]
+        cut = rnd.randrange(len(x))
+        rows[i] = new(rnd.randrange(9)) + x[cut:] + new(rnd.randrange(3)) + x[:cut] + new(rnd.randrange(9))
+    grams = lambda ws: {tuple(ws[j : j + K]) for j in range(max(0, len(ws) - K + 1))}
+    own = {i: grams(x) for i, x in items.items()}
+    of = Counter(g for x in own.values() for g in x)
+    want = {}
+    for d, ws in rows.items():
+        for i, x in own.items():
+            sims = []
+            for s in range(max(0, len(ws) - len(items[i])) + 1):
+                y = grams(ws[s : s + len(items[i])])
+                sims.append((round(sum(1 / of[g] for g in x & y) / (sum(1 / of[g] for g in x) + len(y - x)), 9), -s))
+            if max(sims)[0] >= 0.8:
+                want[d, i] = (round(max(sims)[0], 6), -max(sims)[1])
+    assert want[1, 1] == (round(52 / 60, 6), 9)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    got = contaminated(frame(spark, [(i, " ".join(x)) for i, x in rows.items()]), bench).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, r.start) for r in got} == want
+
+
 def test_secret_scan(spark):
     from clausework.llm.secret_scan import scan
 
