@@ -147,11 +147,14 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 
 def column_letter(i: Column) -> Column:
-    """Spreadsheet letters of a column from 1 to 18,278."""
-    char = lambda x: F.chr((x % 26 + 65).cast("int"))
-    a = F.when(i > 702, char(F.floor((i - 703) / 676))).otherwise("")
-    b = F.when(i > 26, char(F.floor((i - 27) / 26))).otherwise("")
-    return F.when(i < 1, "A").otherwise(F.concat(a, b, char(i - 1)))
+    """Spreadsheet letters of a column, for every long; "A" below 1."""
+    # 14 letters hold every long; pmod and a whole division, as a quotient of doubles is not exact
+    rest = lambda t: F.pmod(t["left"] - 1, F.lit(26))
+    next_left = lambda t: F.call_function("div", t["left"] - 1 - rest(t), F.lit(26)).cast("long")
+    step = lambda t, _: F.when(t["left"] > 0, F.struct(next_left(t).alias("left"), F.concat(F.chr((rest(t) + 65).cast("int")), t["out"]).alias("out"))).otherwise(t)
+    start = F.struct(i.cast("long").alias("left"), F.lit("").alias("out"))
+    letters = F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda t: t["out"])
+    return F.when(i.isNull(), F.lit(None)).when(i < 1, "A").otherwise(letters)
 
 
 def a1(row: Column, column: Column) -> Column:

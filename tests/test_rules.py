@@ -54,3 +54,16 @@ def test_sections_gather_wherever_they_stand(spark):
     df = spark.createDataFrame([("A", 1, "x", "b1"), ("B", 2, "y", "b2"), ("A", 3, "z", "b3")], "p string, o int, t string, i string")
     got = {r.p: (r["first"], r.text, r.ids) for r in outline.sections(df, ["p"], "o", "t", "i").collect()}
     assert got == {"A": (1, "x\nz", ["b1", "b3"]), "B": (2, "y", ["b2"])}
+
+
+def test_column_letter_has_no_bound(spark):
+    def letters(n):
+        out = ""
+        while n > 0:
+            n, r = divmod(n - 1, 26)
+            out = chr(65 + r) + out
+        return out or "A"
+
+    ns = [-1, 0, 1, 26, 27, 702, 703, 18278, 18279, 475254, 475255, 2**53 + 1, 2**63 - 1]
+    df = spark.createDataFrame([(n,) for n in ns], "n long")
+    assert {r.n: r.x for r in df.select("n", scalars.column_letter(df.n).alias("x")).collect()} == {n: letters(n) for n in ns}
