@@ -3,7 +3,7 @@ r"""Personal data with offset-preserving deobfuscation.
 Base detectors find e-mail addresses, IP addresses, card and phone numbers in the text as it is. A chain of transducers then
 rewrites the text (homoglyphs and invisible characters, spelled digits, at/dot disguises), each keeping for every output
 character the source span it came from; the same detectors run over the normal form and their spans are mapped back. Only spans
-that a rewriting took part in and that overlap no base span are added; base spans always stay.
+that a rewriting took part in and that do not lie within base spans of their kind are added; base spans always stay beside them.
 
 All scans are linear: matches start at the start of a run, where a failing run cannot match further right either.
 
@@ -118,6 +118,13 @@ def _spelled(t: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _within(x: int, y: int, spans: list[tuple[int, int]]) -> bool:
+    for s, e in spans:
+        if s <= x < e:
+            x = e
+    return x >= y
+
+
 def added_spans(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     if not _CUE.search(t):
         return []
@@ -133,7 +140,8 @@ def added_spans(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
     out = []
     for kind, a, b in base_spans(form.text):
         x, y = form.start[a], form.end[b - 1]
-        if any(form.made[a:b]) and not any(s < y and x < e for _, s, e in base):
+        new = any(form.made[a:b]) or any(p < q for p, q in zip(form.end[a : b - 1], form.start[a + 1 : b], strict=True))  # or a sign was taken out
+        if new and not _within(x, y, [(s, e) for k, s, e in base if k == kind]):
             out.append((kind, x, y))
     return out
 
@@ -166,7 +174,7 @@ def redacted(text: str | None) -> str | None:
     if text is None:
         return None
     out, at = [], 0
-    for a, b, k in sorted((a, b, k) for k, a, b in spans_of(text)[1]):
+    for a, b, k in sorted(((a, b, k) for k, a, b in spans_of(text)[1]), key=lambda x: (x[0], -x[1], x[2])):
         if a >= at:
             out += [text[at:a], f"[{KINDS[k].upper()}]"]
             at = b

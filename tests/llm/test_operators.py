@@ -98,6 +98,23 @@ def test_pii_spans(text, base, more):
     assert [text[x:y] for k, x, y in a if (k, x, y) not in b] == more
 
 
+@pytest.mark.parametrize(
+    ("text", "base", "kind"),
+    [
+        ("j\u0430ne.doe@example.com", "ne.doe@example.com", "EMAIL"),
+        ("ja\u200bne@example.com", "ne@example.com", "EMAIL"),
+        ("\uff1192.168.1.1", "92.168.1.1", "IP"),
+        ("jane(dot)doe@example.com", "doe@example.com", "EMAIL"),
+    ],
+)
+def test_pii_disguise_before_a_base_match(text, base, kind):
+    from clausework.llm.pii import redacted, spans_of
+
+    b, a = spans_of(f"x {text} y")
+    assert [f"x {text} y"[x:y] for _, x, y in b] == [base] and (b[0][0], 2, 2 + len(text)) in a and b[0] in a
+    assert redacted(f"x {text} y") == f"x [{kind}] y"
+
+
 def test_pii_redacts_and_keeps_columns(spark):
     from clausework.llm.pii import find, redact
 
