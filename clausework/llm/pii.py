@@ -1,7 +1,7 @@
 r"""Personal data with offset-preserving deobfuscation.
 
 Base detectors find e-mail addresses, IP addresses, card and phone numbers in the text as it is. A chain of transducers then
-rewrites the text (homoglyphs and invisible characters, spelled digits, at/dot disguises), each keeping for every output
+rewrites the text (homoglyphs and invisible characters, dot disguises, spelled digits, at disguises), each keeping for every output
 character the source span it came from; the same detectors run over the normal form and their spans are mapped back. Only spans
 that a rewriting took part in and that do not lie within base spans of their kind are added; base spans always stay beside them.
 
@@ -41,9 +41,11 @@ _PART = re.compile(rf"(?i){_NAME}|plus[ ]+|[0-9]+")
 _OPEN, _CLOSE = r"[(\[{<]", r"[)\]}>]"
 _AT = re.compile(rf"(?i)\s*{_OPEN}\s*(?:at|@)\s*{_CLOSE}\s*")
 _DOT = re.compile(rf"(?i)\s*{_OPEN}\s*(?:dot|\.)\s*{_CLOSE}\s*")
-_SAID = re.compile(r"(?i)(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+)")
+#: Looked for when the dots are resolved; a host with no dot made must end in letters.
+_SAID = re.compile(r"(?i)(?<=[A-Za-z0-9])\s+at\s+(?=([A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++))")
+_LETTERS_LAST = re.compile(r"\.[A-Za-z]{2,}\Z")
 _SAID_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])")
-_CUE = re.compile(rf"(?i){_OPEN}\s*(?:at|dot|@|\.)\s*{_CLOSE}|\sdot\s|(?<![a-z])(?:{_NAME})[ ,.-]+(?:{_NAME}|[0-9])|[Ͱ-ԯ٠-٩！-～​-‍․⁠﻿­。]")
+_CUE = re.compile(rf"(?i){_OPEN}\s*(?:at|dot|@|\.)\s*{_CLOSE}|\sdot\s|\sat\s+[a-z0-9-]+\.[a-z0-9]|(?<![a-z])(?:{_NAME})[ ,.-]+(?:{_NAME}|[0-9])|[Ͱ-ԯ٠-٩！-～​-‍․⁠﻿­。]")
 
 
 def _luhn(digits: str) -> bool:
@@ -109,7 +111,7 @@ def _spelled(t: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _SPELLED.finditer(t):
         parts = [(p.start(), p.end(), p[0].lower()) for p in _PART.finditer(t, m.start(), m.end())]
-        if sum(p[2] in _DIGITS for p in parts) < 3:
+        if sum(p[2] in _DIGITS for p in parts) < (1 if m[0].count(".") >= 3 else 3):
             continue
         for i, (a, b, x) in enumerate(parts):
             dotted = "." in t[b : parts[i + 1][0]] if i + 1 < len(parts) else False
@@ -130,13 +132,10 @@ def added_spans(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
         return []
     form = _Form(t)
     form.rewrite([(i, i + 1, "" if x in _HIDDEN else x.translate(_ALIKE)) for i, x in enumerate(t) if x in _HIDDEN or ord(x) in _ALIKE])
+    form.rewrite(sorted((m.start(), m.end(), ".") for x in (_DOT, _SAID_DOT) for m in x.finditer(form.text)))
     form.rewrite(_spelled(form.text))
-    said = [(m.start(), m.end(), "@") for m in _SAID.finditer(form.text)]
+    said = [(m.start(), m.end(), "@") for m in _SAID.finditer(form.text) if any(form.made[m.start(1) : m.end(1)]) or _LETTERS_LAST.search(m[1])]
     form.rewrite(sorted([(m.start(), m.end(), "@") for m in _AT.finditer(form.text)] + said))
-    dots = [(m.start(), m.end(), ".") for m in _DOT.finditer(form.text)]
-    if "@" in form.text:
-        dots += [(m.start(), m.end(), ".") for m in _SAID_DOT.finditer(form.text)]
-    form.rewrite(sorted(dots))
     out = []
     for kind, a, b in base_spans(form.text):
         x, y = form.start[a], form.end[b - 1]

@@ -115,6 +115,25 @@ def test_pii_disguise_before_a_base_match(text, base, kind):
     assert redacted(f"x {text} y") == f"x [{kind}] y"
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("192 dot 168 dot 0 dot 1", 1),
+        ("192 dot 168 dot zero dot one", 1),
+        ("one nine two dot one six eight dot zero dot one", 1),
+        ("jo at example (dot) com", 0),
+        ("jo at example.com", 0),
+        ("jo at example dot com", 0),
+        ("jo at 10 dot 0 dot 0 dot 1", 0),
+    ],
+)
+def test_pii_said_dots(text, kind):
+    from clausework.llm.pii import spans_of
+
+    assert (kind, 0, len(text)) in spans_of(text)[1]
+    assert spans_of("look at the dot, at 10.30 or at noon")[1] == []
+
+
 def test_pii_redacts_and_keeps_columns(spark):
     from clausework.llm.pii import find, redact
 
