@@ -256,6 +256,16 @@ def test_secret_scan(spark):
     assert scan(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_secret_candidates_are_all_runs(spark):
+    from clausework.llm.secret_scan import candidates, features
+
+    a, b, c = (hashlib.sha1(x).hexdigest() for x in (b"a", b"b", b"c"))
+    rows = [(1, f'x {{"id":"{a[:20]}","secret":"{b}"}}'), (2, f"export API_KEY={c}"), (3, f"a {'-' * 20},{a} b"), (4, "see PASSWORD=abcdefghijklmnopqrst")]
+    df = frame(spark, rows)
+    got = {(r.doc_id, r.value): (r.f_assign, r.f_credential) for r in features(candidates(df), df).collect()}
+    assert got == {(1, a[:20]): (1, 0), (1, b): (1, 1), (2, c): (1, 1), (3, a): (0, 0), (4, "abcdefghijklmnopqrst"): (1, 1)}
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
