@@ -266,6 +266,17 @@ def test_secret_candidates_are_all_runs(spark):
     assert got == {(1, a[:20]): (1, 0), (1, b): (1, 1), (2, c): (1, 1), (3, a): (0, 0), (4, "abcdefghijklmnopqrst"): (1, 1)}
 
 
+def test_secret_dictionary_counts_texts(spark):
+    from clausework.llm.secret_scan import candidates, features
+
+    copied, spread, plain = "qzx7wvut9plmk3rrgt", "abq4cdezz8fgh2ijkk", "meter-reading-list-2024"
+    rows = [(i, f"here {copied} stands") for i in range(5)] + [(10 + i, f"text {i} has {spread}") for i in range(5)]
+    rows += [(20 + i, f"the meter reading list {i} in {plain}") for i in range(3)]
+    df = frame(spark, rows)
+    got = {r.value: r.f_dictionary for r in features(candidates(df), df).collect()}
+    assert got == {copied: 0, spread: 0, plain: 16 / 23}
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
