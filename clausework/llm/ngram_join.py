@@ -12,9 +12,10 @@ sets are contracted into components, and only pairs between different components
 column, partner or candidate is dropped, so components equal those of the full link graph.
 
 Defined results. Null or empty text, or text of separators only: empty set, linked with nothing, its own component.
-Fewer than k words: the whole sequence is the one shingle. Repeated rows with one id: one output row each, all in one
-component with equal sets. Extra columns, whatever their names, are ignored. An empty table gives an empty result. Ties
-have no influence: components are labelled by the smallest id. Shingles and sets are identified by 64-bit hashes.
+Fewer than k words: the whole sequence is the one shingle. Rows that repeat an id: one output row each, by its own text. Ids may be
+of any orderable type; a null id is never the smallest, so a component of null ids alone has a null label. Texts of any length are
+taken whole. Extra columns, whatever their names, are ignored. An empty table gives an empty result. Ties have no influence:
+components are labelled by the smallest id. Texts, shingles and sets are identified by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clausework.llm import _words as w
-from clausework.llm._store import materialise
+from clausework.llm._store import drop, materialise
 
 #: A column is heavy from this share of a partition's sets; at most (average set size / share) columns can be.
 HEAVY_SHARE = 0.0005
@@ -39,8 +40,12 @@ SEGMENT_GRAMS = 1 << 20
 #: After the first, hub rounds go on while the last product would make more rows than this many times its entries, and each round divides it by PRODUCT_GAIN.
 PRODUCT_SHARE = 4
 PRODUCT_GAIN = 4
+#: Rows of an Arrow batch of texts, and of pairs of texts; a batch of either stays within some MB.
+TEXT_ROWS, PAIR_ROWS = 2048, 1024
 #: Up to so many (set, document) pairs, 16 bytes each, the texts to verify are picked by a broadcast; beyond, by a shuffled join.
 BROADCAST_ROWS = 2_000_000
+#: Up to so many groups (some 40 bytes each) the kept rows are picked by a broadcast.
+KEPT_ROWS = 500_000
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -86,6 +91,7 @@ def connected(links: DataFrame) -> DataFrame:
         after = materialise(after, "edges")
         n = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         last = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        drop(edges)
         edges = after
         if n == last:
             break
@@ -94,24 +100,27 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, set_id, n_links: den * intersection >= num * union links two documents.
+    """doc_id, n_shingles, component_id, set_id, n_links, text_id, group_id: den * intersection >= num * union links two documents.
 
-    n_links counts verified links of the document's set to other sets that were needed to connect the components.
+    n_links counts verified links of the document's set to other sets that were needed to connect the components. text_id is a
+    hash of the text; group_id, null for empty sets, is a key of the component that does not depend on ids.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    docs = docs.withColumn("tid", F.xxhash64("text"))
 
     def scan(batches):
-        seen, some, grams = set(), [], 0
+        seen, some, grams, id_type = set(), [], 0, None
 
         def counted():
             u, c = np.unique(np.concatenate(some), return_counts=True)
             often = c >= max(HEAVY_LEAST, int(len(some) * HEAVY_SHARE))
             u, c = u[often], c[often]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int64()), pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["doc_id", "n", "sig", "times"])
+            return pa.RecordBatch.from_arrays([pa.nulls(len(u), id_type), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int64()), pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["doc_id", "tid", "n", "sig", "times"])
 
         for batch in batches:
-            ids, sizes, sigs = batch.column(0), [], []
-            for _, u in _sets(batch.column(1), k):
+            sizes, sigs, id_type = [], [], batch.schema.field(0).type
+            for _, u in _sets(batch.column(2), k):
                 sig = _signature(u) if len(u) else 0
                 sizes.append(len(u))
                 sigs.append(sig)
@@ -123,12 +132,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
                         yield counted()
                         some, grams = [], 0
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(n, pa.int64())], names=["doc_id", "n", "sig", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(n, pa.int64())], names=["doc_id", "tid", "n", "sig", "times"])
         if some:
             yield counted()
 
-    scanned = materialise(docs.mapInArrow(w.released(scan), "doc_id long, n long, sig long, times long"), "sets")
-    sets = scanned.where(F.col("times").isNull()).select("doc_id", "n", "sig")
+    scanned = materialise(docs.select("doc_id", "tid", "text").mapInArrow(w.released(scan), f"doc_id {kind}, tid long, n long, sig long, times long"), "sets", TEXT_ROWS)
+    sets = scanned.where(F.col("times").isNull()).select("doc_id", "tid", "n", "sig")
     ranked = scanned.where(F.col("times").isNotNull()).groupBy("sig").agg(F.sum("times").alias("times"))
     # heavy columns are few by construction (see HEAVY_SHARE), whatever the size of the corpus
     rows = ranked.orderBy(F.desc("times"), "sig").limit(1 << 20).collect()
@@ -175,23 +184,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     entries = entries.withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("sig"), F.lit(4096))).otherwise(F.lit(-1))).repartition("col", "salt")
     own = Window.partitionBy("col", "salt")
     light = entries.withColumns({"low": F.min("sig").over(own), "high": F.max("sig").over(own)}).where("heavy or low < high")
-    block = materialise(light.select("col", "sig", "n", "lim").dropDuplicates(["col", "sig"]), "shared")
-    block = materialise(block.join(block.groupBy("sig").agg(F.count("*").alias("deg")), "sig"), "block")
-    reps = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    wanted = materialise(block.select("sig").distinct().join(reps, "sig"), "wanted")
+    shared = materialise(light.select("col", "sig", "n", "lim").dropDuplicates(["col", "sig"]), "shared", TEXT_ROWS)
+    block = materialise(shared.join(shared.groupBy("sig").agg(F.count("*").alias("deg")), "sig"), "block")
+    drop(shared)
+    # one row stands for each set; a row is told by its id and text, as an id may come with several texts
+    reps = sets.where("n > 0").groupBy("sig").agg(F.min(F.struct("doc_id", "tid")).alias("r"), F.min("doc_id").alias("least"))
+    wanted = materialise(block.select("sig").distinct().join(reps, "sig").select("sig", F.col("r.doc_id").alias("rid"), F.col("r.tid").alias("rt")), "wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = materialise(docs.join(few, "doc_id").select("sig", "text"), "texts")
-    comp = links = None
+    texts = docs.join(few, (docs["tid"] == F.col("rt")) & docs["doc_id"].eqNullSafe(F.col("rid"))).select("sig", "text")
+    texts = materialise(texts, "texts")
+    if texts.count() > wanted.count():  # rows that repeat an id and a text
+        several, texts = texts, materialise(texts.dropDuplicates(["sig"]), "texts")
+        drop(several)
+    comp, links, source = None, None, block
     fits = (F.col("na") * num <= F.col("nb") * den) & (F.col("nb") * num <= F.col("na") * den)
-    last, step, star = None, 0, True
+    last, step, star, old = None, 0, True, None
     while star:
         now = block.withColumn("comp", F.col("sig")) if comp is None else block.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
         # columns within one component have nothing left to join; of the others, how many rows would their product have
         mixed = materialise(_mixed(now), "mixed")
         if comp is not None:
             now = materialise(now.join(mixed, "col", "left_semi"), "now")
-            block = now.drop("comp")
+            drop(source)
+            source, block = now, now.drop("comp")
         entries, product = _product(mixed)
+        drop(old)
+        old = mixed
         star = last is None or product > PRODUCT_SHARE * entries and PRODUCT_GAIN * product < last
         last = product
         if star:
@@ -215,15 +233,40 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             room = F.expr(f"(greatest(na, nb) * {num} + {den} - 1) div {den} - 1")
             pairs = pairs.where((F.col("c") + room) * (num + den) >= need).select("a", "b")
         step += 1
-        good = materialise(_verified(pairs, texts, k, num, den), "links")
+        good = materialise(_verified(pairs, texts, k, num, den), "links", PAIR_ROWS)
         links = good if links is None else links.unionByName(good)
-        comp = materialise(connected(links), "components")
+        before, comp = comp, materialise(connected(links), "components")
+        drop(before)
+    drop(old, source, texts, wanted)
     degree = links.select(F.col("a").alias("sig")).unionAll(links.select(F.col("b").alias("sig"))).groupBy("sig").agg(F.count("*").alias("n_links"))
     of = reps.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    label = of.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = of.join(label, "comp").join(degree, "sig", "left").select("sig", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    full = sets.where("n > 0").join(named, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("sig").alias("set_id"), "n_links")
-    return full.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("set_id"), F.lit(0).cast("long").alias("n_links")))
+    label = of.groupBy("comp").agg(F.min("least").alias("component_id"))
+    named = of.join(label, "comp").join(degree, "sig", "left").select("sig", "comp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    full = sets.where("n > 0").join(named, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("sig").alias("set_id"), "n_links", F.col("tid").alias("text_id"), F.col("comp").alias("group_id"))
+    none = F.lit(None).cast("long")
+    return full.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), none.alias("set_id"), F.lit(0).cast("long").alias("n_links"), F.col("tid").alias("text_id"), none.alias("group_id")))
+
+
+def one_of_each_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, of which each group of linked ones leaves one row: of the smallest id, then the smallest hash of the text.
+
+    Documents of an empty set are linked with nothing, so all stay. A null id comes after all others. Of rows that repeat an id
+    and a text one stays. Group rows are counted before they meet, so a group of any size reaches no task as a whole.
+    """
+    inner = [F.col(f"`{c}`") for c in docs.columns]
+    tid, nothing = F.xxhash64(F.col(f"`{text_col}`")), ~F.coalesce(F.col(f"`{text_col}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    found = jaccard_components(docs, k, num, den, id_col, text_col).where("group_id is not null")
+    each = found.groupBy("group_id", "doc_id", "text_id").agg(F.count("*").alias("times"))
+    first = each.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_id", "times")).alias("r"))
+    kept = materialise(first.select(F.struct(F.col("r.doc_id").alias("d"), F.col("r.text_id").alias("t")).alias("_kept"), F.col("r.times").alias("_times")), "kept")
+    # all columns of a row are held in one struct, so that no name can clash
+    rows = docs.select(F.struct(*inner).alias("_row"), tid.alias("_tid"), F.col(f"`{id_col}`").alias("_id"), nothing.alias("_none"))
+    few = F.broadcast(kept) if kept.count() <= KEPT_ROWS else kept
+    one = rows.where("not _none").join(few, (F.col("_tid") == F.col("_kept.t")) & F.col("_id").eqNullSafe(F.col("_kept.d")))
+    out = one.where("_times = 1").select("_row").unionByName(rows.where("_none").select("_row"))
+    if not kept.where("_times > 1").isEmpty():
+        out = out.unionByName(one.where("_times > 1").dropDuplicates(["_id", "_tid"]).select("_row"))
+    return out.select("_row.*")
 
 
 def _mixed(now: DataFrame) -> DataFrame:
