@@ -9,8 +9,9 @@ Only DataFrame expressions. Counting first reduces to one row per (host, line, t
 tasks; no step gathers a host.
 
 Defined results. Null text counts as empty: all counts are 0 and base_failed is true. A null host is a host of its own. Rows
-that repeat an id keep their own verdicts. Extra columns pass through rules_applied() and are ignored by verdicts(). An empty
-table gives an empty result.
+that repeat an id, or have none, keep their own verdicts: a row is told by its id and text. Texts are taken whole whatever their length.
+No verdict hangs on an order, so ties have no influence. Extra columns, whatever their names, pass through rules_applied() and are
+ignored by verdicts(). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ MIN_WORDS = 20
 REPEAT_PERCENT = 30
 LINE_LEAST = 20
 LINE_SHARE = 0.05
+#: Boilerplate lines (about 40 bytes each) that may be broadcast; more are joined by a salted shuffle, as each is frequent.
+BROADCAST_ROWS = 500_000
+SALTS = 16
 _SEP = r"[\x20\x09-\x0D]+"
 
 
@@ -67,22 +71,30 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(lines of each document, boilerplate lines of each host)."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col), F.lit("")).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{host_col}`"), F.lit("")).alias("host"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
     d = d.withColumn("tid", F.xxhash64("t"))
     lines = d.select("doc_id", "host", "tid", F.posexplode(F.split("t", "\n", -1)).alias("pos", "line")).where(_has_word(F.col("line")))
     lines = lines.select("doc_id", "host", "tid", "pos", F.xxhash64(normal_line(F.col("line"))).alias("lh"), F.size(words_of(F.col("line"))).alias("lw"))
     lines = materialise(lines, "lines")  # read twice: hashes and sizes, far less than the texts
     size = d.groupBy("host", "tid").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("docs"))
     seen = lines.groupBy("host", "lh", "tid").agg(F.lit(1).alias("one")).groupBy("host", "lh").agg(F.count("*").alias("n")).where(F.col("n") >= LINE_LEAST)
-    often = seen.join(size, "host").where(F.col("n") > LINE_SHARE * F.col("docs")).select("host", "lh")
+    often = materialise(seen.join(size, "host").where(F.col("n") > LINE_SHARE * F.col("docs")).select("host", "lh"), "often")
     return lines, often
 
 
+def _matching(lines: DataFrame, often: DataFrame) -> DataFrame:
+    """The lines that are boilerplate of their host."""
+    if often.count() <= BROADCAST_ROWS:
+        return lines.join(F.broadcast(often), ["host", "lh"])
+    dealt = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return lines.withColumn("salt", F.pmod("tid", F.lit(SALTS)).cast("int")).join(dealt, ["host", "lh", "salt"]).drop("salt")
+
+
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """doc_id, the base counts, base_failed, n_cut_words and kept; one row per row of docs."""
-    base = base_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("tid", F.xxhash64(F.coalesce("text", F.lit(""))))).drop("text")
+    base = base_counts(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("tid", F.xxhash64(F.coalesce("text", F.lit(""))))).drop("text")
     lines, often = boilerplate(docs, id_col, text_col, host_col)
-    cut = lines.join(often, ["host", "lh"]).groupBy("doc_id", "tid", "pos").agg(F.first("lw").alias("lw")).groupBy("doc_id", "tid").agg(F.sum("lw").alias("cut"))
+    cut = _matching(lines, often).groupBy("doc_id", "tid", "pos").agg(F.first("lw").alias("lw")).groupBy("doc_id", "tid").agg(F.sum("lw").alias("cut"))
     cut = cut.select(F.col("doc_id").alias("_d"), F.col("tid").alias("_t"), "cut")
     out = base.join(cut, base["doc_id"].eqNullSafe(cut["_d"]) & (base["tid"] == cut["_t"]), "left").withColumn("n_cut_words", F.coalesce("cut", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("n_cut_words")
@@ -93,18 +105,20 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 def rules_applied(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The documents that are kept, all columns, with their boilerplate lines taken out of the text."""
     lines, often = boilerplate(docs, id_col, text_col, host_col)
-    gone = lines.join(often, ["host", "lh"]).groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_d"), F.col("tid").alias("_tid"), "_gone")
-    base = base_counts(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).withColumn("_tk", F.xxhash64(F.coalesce("text", F.lit(""))))).select("_id", "_tk", "base_failed")
+    gone = _matching(lines, often).groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    gone = gone.select(F.col("doc_id").alias("gid"), F.col("tid").alias("gtid"), "gone")
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    base = base_counts(docs.select(F.col(f"`{id_col}`").alias("bid"), F.col(f"`{text_col}`").alias("text")).withColumn("btid", key)).select("bid", "btid", "base_failed")
     # written before it is filtered: a filter pushed into the array expressions would evaluate them once per element
-    base = materialise(base, "base").where("base_failed").select("_id", "_tk").distinct()
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    kept = docs.withColumn("_k", key).join(base, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_tk")), "left_anti")
-    kept = kept.join(gone, kept[id_col].eqNullSafe(gone["_d"]) & (kept["_k"] == gone["_tid"]), "left")
-    rest = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    kept = kept.withColumn("_new", F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(rest))
-    n_old, n_new = F.size(words_of(F.col(text_col))), F.size(words_of(F.col("_new")))
-    kept = kept.where(F.col("_gone").isNull() | ~((n_new < MIN_WORDS) & (2 * n_new < n_old))).withColumn(text_col, F.col("_new"))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    base = materialise(base, "base").where("base_failed").select("bid", "btid").distinct()
+    # all other columns of a row are held in one struct, so that no name can clash
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*(others or [F.lit(0)])).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("tid", key)
+    kept = rows.join(base, F.col("id").eqNullSafe(F.col("bid")) & (F.col("tid") == F.col("btid")), "left_anti")
+    kept = kept.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("tid") == F.col("gtid")), "left")
+    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    kept = kept.withColumn("new", F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest))
+    n_old, n_new = F.size(words_of(F.col("text"))), F.size(words_of(F.col("new")))
+    kept = kept.where(F.col("gone").isNull() | ~((n_new < MIN_WORDS) & (2 * n_new < n_old)))
+    size = F.when(F.col("gone").isNull(), F.col("row").getField("n_chars")).otherwise(F.length("new")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return kept.select(*(F.col("new").alias(c) if c == text_col else size.alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns))
