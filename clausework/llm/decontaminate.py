@@ -1,16 +1,19 @@
 r"""Benchmark decontamination with SimHash windows and a multi-index Hamming search; DataFrame expressions only.
 
 Words are lower-cased runs of letters and digits. A window of a document has as many words as the item it is held against.
-Windows are laid, at any start, where the shingles they share with the item weigh at least THRESHOLD of all of the
-item's: the similarity is at most that share, so no other window can reach it, and a search by block alone would add none. Each window gets a 64-bit SimHash over its shingles; RADIUS + 1 blocks of the
+Windows are laid, at any start, where the shingles they share with an item of their size weigh at least THRESHOLD of all of the
+item's. That loses none: the similarity is at most that share, so no other window can reach the threshold. Each window gets a
+64-bit SimHash over its shingles and is then looked up by its size and fingerprint alone: RADIUS + 1 blocks of the
 fingerprint index the items, and by the pigeonhole principle a pair within RADIUS bits agrees in a block. Pairs within the
 radius are verified by exact weighted similarity: the weight of the common shingles over the weight of all, a shingle of c
-items weighing 1 / c and one of none 1. RADIUS lies more than four standard deviations above the expected
+item texts weighing 1 / c and one of none 1. RADIUS lies more than four standard deviations above the expected
 distance at the threshold.
 
-Defined results. Null or empty texts and items match nothing. Items of fewer than K words are one whole shingle. Repeated
-rows are reported once per id. Ties: the best similarity, then the first window. Extra columns are ignored; empty tables
-give an empty result.
+Defined results. Null or empty texts and items match nothing. Items of fewer than K words are one whole shingle, so an item of one
+word is found wherever the word is. Repeated rows are reported once per id; a null id is an id of its own. An item id may come with
+several texts, each of which is looked for. Ties: the best similarity, then the first window. Texts are taken whole whatever
+their length. Extra columns, whatever their names, are ignored, and kept by decontaminated(). Empty tables give an empty
+result, and without items all documents stay.
 """
 
 from __future__ import annotations
@@ -67,50 +70,69 @@ def _starts(hits: Column, n: Column, k: Column, last: Column, least: Column) ->
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(hits) - 1), led))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, start (0-based word), n_words, similarity: the best window of each document and item."""
-    it = items.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text)).alias("ws")).where("size(ws) > 0").dropDuplicates(["item_id"])
+def _found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame | None:
+    """doc_id, tid, item_id, start, n, similarity: the best window of each row's text and item; None if there are no items."""
+    named = items.select(F.col(f"`{item_col}`").alias("item_id"), words_of(F.col(f"`{item_text}`")).alias("ws")).where("size(ws) > 0").withColumn("item", F.xxhash64("ws"))
+    it = named.select("item", "ws").dropDuplicates(["item"])  # an id may come with several texts, and a text with several ids
     it = it.withColumn("n", F.size("ws")).withColumn("k", F.least(F.lit(K), "n")).withColumn("sh", shingles(F.col("ws"), F.col("k")))
-    it = materialise(it.select("item_id", "n", "k", "sh"), "items")
-    weight = it.select("item_id", F.explode(F.array_distinct("sh")).alias("h")).groupBy("h").agg((F.lit(1.0) / F.count("*")).alias("w"))
-    weighted = it.select("item_id", F.explode(F.array_distinct("sh")).alias("h")).join(weight, "h").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("h", "w"))).alias("own"), F.sum("w").alias("total"))
-    prints = materialise(it.join(weighted, "item_id").select("item_id", "own", "total", simhash(F.col("sh")).alias("fp")), "prints")
-    places = materialise(it.select("item_id", "n", "k", F.explode(F.array_distinct("sh")).alias("h")).join(weight, "h").join(weighted.select("item_id", "total"), "item_id"), "places")
+    it = materialise(it.select("item", "n", "k", "sh"), "items")
+    weight = it.select("item", F.explode(F.array_distinct("sh")).alias("h")).groupBy("h").agg((F.lit(1.0) / F.count("*")).alias("w"))
+    weighted = it.select("item", F.explode(F.array_distinct("sh")).alias("h")).join(weight, "h").groupBy("item").agg(F.sort_array(F.collect_list(F.struct("h", "w"))).alias("own"), F.sum("w").alias("total"))
+    prints = materialise(it.join(weighted, "item").select("item", "n", "k", "own", "total", simhash(F.col("sh")).alias("fp")), "prints")
+    places = materialise(it.select("item", "n", "k", F.explode(F.array_distinct("sh")).alias("h")).join(weight, "h").join(weighted.select("item", "total"), "item"), "places")
     lengths = [r["k"] for r in it.select("k").distinct().collect()]  # at most K values
-    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tid"), words_of(F.col(text_col)).alias("ws"))
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(f"`{text_col}`").alias("tid"), words_of(F.col(f"`{text_col}`")).alias("ws"))
     small = _small(places)
     found = None
     for k in lengths:
         hit = d.select("doc_id", "tid", F.size("ws").alias("dn"), F.posexplode(shingles(F.col("ws"), F.lit(k))).alias("pos", "h")).join(small.where(F.col("k") == k), "h")
-        hit = hit.select("doc_id", "tid", "dn", "item_id", "n", "k", "total", "pos", "h", "w")
+        hit = hit.select("doc_id", "tid", "dn", "item", "n", "k", "total", "pos", "h", "w")
         found = hit if found is None else found.unionByName(hit)
     if found is None:
-        return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)[id_col]}, item_id {dict(items.dtypes)[item_col]}, start int, n_words int, similarity double")
-    one = ["doc_id", "tid", "item_id", "n", "k", "dn", "total"]
-    found = found.repartition("doc_id", "tid", "item_id").distinct()
+        return None
+    one = ["doc_id", "tid", "item", "n", "k", "dn", "total"]
+    found = found.repartition("doc_id", "tid", "item").distinct()
     found = found.withColumn("prev", F.coalesce(F.lag("pos").over(Window.partitionBy(*one, "h").orderBy("pos")), F.lit(-1)))
     found = found.groupBy(*one).agg(F.array_sort(F.collect_list(F.struct("pos", "prev", "w"))).alias("hits"))
     starts = _starts(F.col("hits"), F.col("n"), F.col("k"), F.greatest(F.lit(0), F.col("dn") - F.col("n")), (THRESHOLD - 1e-6) * F.col("total"))
-    laid = materialise(found.select("doc_id", "tid", "item_id", "n", "k", starts.alias("starts")).where("size(starts) > 0"), "laid")
+    laid = materialise(found.select("doc_id", "tid", "n", "k", F.explode(starts).alias("start")).distinct(), "laid")
     # only texts with a window are cut into words again, once for each shingle length
-    laid = laid.groupBy("doc_id", "tid", "k").agg(F.flatten(F.collect_list(F.transform("starts", lambda s: F.struct(s.alias("start"), "item_id", "n")))).alias("wins"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("t")).join(_small(laid), ["doc_id", "tid"])
-    win = texts.select("doc_id", "k", "wins", words_of(F.col("t")).alias("ws")).select("doc_id", "k", "wins", shingles(F.col("ws"), F.col("k")).alias("all"))
-    win = win.select("doc_id", "k", "all", F.explode("wins").alias("x")).select("doc_id", "x.item_id", "x.start", "x.n", F.slice("all", F.col("x.start") + 1, F.col("x.n") - F.col("k") + 1).alias("sh"))
-    win = win.select("doc_id", "item_id", "start", "n", "sh", simhash(F.col("sh")).alias("wp"))
-    index = prints.select("item_id", "own", "total", "fp", F.explode(blocks(F.col("fp"))).alias("blk"))
-    near = win.withColumn("blk", F.explode(blocks(F.col("wp")))).join(_small(index), ["item_id", "blk"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("wp"))) <= RADIUS)
+    laid = laid.groupBy("doc_id", "tid", "k").agg(F.collect_list(F.struct("start", "n")).alias("wins"))
+    laid = laid.select(F.col("doc_id").alias("wid"), F.col("tid").alias("wtid"), "k", "wins")
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(f"`{text_col}`").alias("tid"), F.col(f"`{text_col}`").alias("t"))
+    texts = texts.join(_small(laid), (F.col("tid") == F.col("wtid")) & F.col("doc_id").eqNullSafe(F.col("wid")))
+    win = texts.select("doc_id", "tid", "k", "wins", words_of(F.col("t")).alias("ws")).select("doc_id", "tid", "k", "wins", shingles(F.col("ws"), F.col("k")).alias("all"))
+    win = win.select("doc_id", "tid", "k", "all", F.explode("wins").alias("x")).select("doc_id", "tid", "k", "x.start", "x.n", F.slice("all", F.col("x.start") + 1, F.col("x.n") - F.col("k") + 1).alias("sh"))
+    win = win.select("doc_id", "tid", "start", "n", "k", "sh", simhash(F.col("sh")).alias("wp"))
+    # the index is asked by the size of the window and a block of its fingerprint, for whatever items lie there
+    index = prints.select("item", "n", "k", "own", "total", "fp", F.explode(blocks(F.col("fp"))).alias("blk"))
+    near = win.withColumn("blk", F.explode(blocks(F.col("wp")))).join(_small(index), ["n", "k", "blk"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("wp"))) <= RADIUS)
     # a pair that agrees in several blocks is verified once, by the first of them
     agree = F.transform(blocks(F.col("fp").bitwiseXOR(F.col("wp"))), lambda b: b["bits"] == 0)
     near = near.where(F.array_position(agree, True) == F.col("blk.no") + 1).withColumn("sh", F.array_distinct("sh"))
     both = F.filter("own", lambda s: F.array_contains(F.col("sh"), s["h"]))
     common = F.aggregate(both, F.lit(0.0), lambda a, s: a + s["w"])
     near = near.withColumn("similarity", common / (F.col("total") + F.size("sh") - F.size(both)))
-    best = near.where(F.col("similarity") >= THRESHOLD - 1e-9).groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n")).alias("b"))
+    best = near.where(F.col("similarity") >= THRESHOLD - 1e-9).groupBy("doc_id", "tid", "item").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n")).alias("b"))
+    return best.join(named.select("item", "item_id").distinct(), "item").select("doc_id", "tid", "item_id", "b")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, item_id, start (0-based word), n_words, similarity: the best window of each document and item."""
+    found = _found(docs, items, id_col, text_col, item_col, item_text)
+    if found is None:
+        kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
+        return docs.sparkSession.createDataFrame([], "doc_id {}, item_id {}, start int, n_words int, similarity double".format(*kinds))
+    best = found.groupBy("doc_id", "item_id").agg(F.min("b").alias("b"))
     return best.select("doc_id", "item_id", F.col("b.start").alias("start"), F.col("b.n").alias("n_words"), F.round(-F.col("b.s"), 6).alias("similarity"))
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, that have no window of an item."""
-    bad = materialise(contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias("_bad")).distinct(), "leaks")
-    return docs.join(_small(bad), docs[id_col] == F.col("_bad"), "left_anti")
+def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents, all columns, whose text has no window of an item."""
+    found = _found(docs, items, id_col, text_col, item_col, item_text)
+    if found is None:
+        return docs
+    bad = materialise(found.select(F.col("doc_id").alias("bid"), F.col("tid").alias("btid")).distinct(), "leaks")
+    # all columns of a row are held in one struct, so that no name can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("tid"))
+    return rows.join(_small(bad), (F.col("tid") == F.col("btid")) & F.col("id").eqNullSafe(F.col("bid")), "left_anti").select("row.*")
