@@ -1,17 +1,20 @@
 """The corpus pipeline: documents through five operators, each stage written as Parquet and read again.
 
-Defined results. Every stage takes and keeps null texts unless its own rule rejects them (quality rules reject empty documents), takes
-empty tables, and passes columns it does not know. ORACLE_SQL is None: SQL cannot express the SentencePiece stage.
+Defined results. Every stage takes null ids and null texts and keeps them unless its own rule rejects them (quality rules reject texts
+without words); a null id is an id of its own row, told from others by the text. Rows that repeat an id are judged by their own texts;
+near-duplicate texts leave one row, ties go to the smallest id, then the smallest hash of the text. Texts are taken whole whatever
+their length. Empty tables give empty results. Columns that no stage knows pass through, whatever their names; in the last stage one
+that is named like a result (n_tokens, ids_sha256, round_trip) gets a line at its end. ORACLE_SQL is None: SQL cannot express
+the SentencePiece stage; tests hold the stages against brute-force versions.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from clausework.llm._store import materialise, table
 from clausework.llm.decontaminate import decontaminated
-from clausework.llm.ngram_join import jaccard_components
+from clausework.llm.ngram_join import one_of_each_group
 from clausework.llm.pii import redact
 from clausework.llm.quality_rules import rules_applied
 from clausework.llm.sentencepiece_codec import digest
@@ -23,10 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest id, of each group of near duplicates (five words, similarity 0.8)."""
-    first = jaccard_components(docs, k=5, num=80, den=100).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    one = docs.join(first, docs["doc_id"] == first["_first"], "left_semi")
-    return one.dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates (five words, similarity 0.8): of the smallest id. Documents without words stay."""
+    return one_of_each_group(docs, k=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
