@@ -30,7 +30,7 @@ def test_substring_dedup(spark):
     rnd = random.Random(3)
     shared = " ".join(f"s{i}" for i in range(30))
     rows = [(i, " ".join(rnd.choice("abcdefgh") + str(rnd.randrange(50)) for _ in range(40)) + (" " + shared if i % 3 == 0 else "")) for i in range(10, 40)]
-    rows += [(50, rows[0][1]), *[x for x in EDGE if x[0] not in (4,)], (7, "ab " * 20)]
+    rows += [(50, rows[0][1]), *[x for x in EDGE if x[0] not in (4,)], (7, "ab " * 20), (-4, rows[3][1] + " tail"), (-9, rows[6][1]), (2**62, rows[9][1])]
     first = {}
     for i, t in rows:
         ws = words(t)
@@ -44,6 +44,29 @@ def test_substring_dedup(spark):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in remove_repeats(frame(spark, rows), 5).collect()}
     assert got == want
     assert remove_repeats(frame(spark, rows).limit(0), 5).count() == 0
+    nulls = [(None, rows[0][1]), (None, rows[0][1]), (None, "a b c d e f"), (1, "b c d e f g")]
+    got = sorted((r.doc_id or 0, r.kept_text) for r in remove_repeats(frame(spark, nulls), 5).collect())
+    assert got == sorted([(0, rows[0][1]), (0, rows[0][1]), (0, "a"), (1, "b c d e f g")])
+    with pytest.raises(TypeError):
+        remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_sketch_overestimates_and_flags_few_others():
+    """Merged cells are never below the true counts, and few windows that occur once share all their cells."""
+    from clausework.llm.substring_dedup import CELLS_PER_BYTE, DEPTH, _cells
+
+    rnd = np.random.default_rng(3)
+    parts = [np.unique(rnd.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2)) for _ in range(8)]
+    parts = [np.unique(np.concatenate([x, parts[0][:500]])) for x in parts]
+    bits = int(8 * 20_000 * 6 * CELLS_PER_BYTE).bit_length()
+    merged = np.zeros((DEPTH, 1 << bits), np.int64)
+    for x in parts:
+        for row in range(DEPTH):
+            cells, at = _cells(x, row, bits)
+            merged[row, cells.astype(np.int64)] += np.bincount(at)
+    h, n = np.unique(np.concatenate(parts), return_counts=True)
+    least = np.min([merged[row, _cells(h, row, bits)[0].astype(np.int64)[_cells(h, row, bits)[1]]] for row in range(DEPTH)], axis=0)
+    assert (least >= n).all() and ((least >= 2) & (n == 1)).sum() < 0.12 * (n == 1).sum()
 
 
 def test_quality_rules(spark):
@@ -164,7 +187,7 @@ def test_token_counts(spark, tmp_path):
 
 
 def test_lm_scores(spark):
-    from clausework.llm.lm_scoring import Model, score
+    from clausework.llm.lm_scoring import Model, Vocabulary, score
 
     rnd = random.Random(2)
     rows = [(i, " ".join((rnd.choice("abc") if i % 2 else rnd.choice("xyz")) for _ in range(60)) + f" Rare{i}") for i in range(300)] + [(900, None), (901, "")]
@@ -180,9 +203,59 @@ def test_lm_scores(spark):
         tk = [*words((t or "").lower()), None]
         assert of[i].n_tokens == len(tk) and of[i].train_tokens == n and of[i].n_known == sum(c[x] > 0 for x in tk)
         assert math.isclose(of[i].base_score, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in tk), rel_tol=1e-9)
-    m = Model(np.sort(np.arange(1, 6, dtype=np.uint64)), np.ones(5), 3)
-    one, two, bias, z = m.tables()  # probabilities of every context sum to 1
-    assert np.allclose(np.exp(one[:, None, :] + two[None, :, :] + bias - z[:, :, None]).sum(-1), 1)
+    words_ = Vocabulary(np.arange(1, 6, dtype=np.uint64), np.ones(5), np.arange(8, 11, dtype=np.uint64), np.ones(3), np.arange(256) % 3, np.arange(256) % 3 > 0)
+    m = Model(words_)
+    doc = np.repeat(np.arange(40), 25)
+    m.fit(np.random.default_rng(1).integers(1, 12, 1000).astype(np.uint64) << np.uint64(0), doc, np.random.default_rng(2), [np.full(x.shape, 1e-3, np.float32) for x in m.p])
+    one, two, bias, z, va, vb, z2 = m.tables()  # probabilities of every context sum to 1, of classes and of units
+    assert np.allclose(np.exp(one[:, None, :] + two[None, :, :] + bias - z[:, :, None]).sum(-1), 1, atol=1e-4)
+    q2, bias2 = m.p[5].astype(float), m.p[6].astype(float)
+    assert np.allclose(np.exp((va @ q2.T)[:9, None, :] + (vb @ q2.T)[None, :9, :] + bias2 - z2[:9, :9, None]).sum(-1), 1, atol=1e-4)
+    leaf = (words_.bin_n + words_.bin_v + 1) / (words_.bin_n + words_.bin_v + 1)  # tokens with add-one counts and one unknown token fill each hashed unit
+    assert (leaf == 1).all()
+
+
+def test_lm_score_is_the_sum_over_tokens_by_brute_force(spark):
+    """score() against the model's definition, token by token, with the parameters that training gave."""
+    from unittest import mock
+
+    from clausework.llm import lm_scoring as lm
+
+    rnd = random.Random(4)
+    rows = [(str(i), " ".join(rnd.choice("abcdefgh") + ("" if rnd.random() < 0.8 else str(rnd.randrange(300))) for _ in range(30))) for i in range(150)] + [(None, None), ("x", "")]
+    held, real = [], lm.train
+    with mock.patch.object(lm, "train", lambda docs, model: held.append(real(docs, model)) or held[0]):
+        out = lm.score(spark.createDataFrame(rows, "doc_id string, text string"), classes=4).collect()
+    m, v = held[0], held[0].words
+    counts, hashed = Counter(), {}
+    for i, t in rows:
+        ws = words((t or "").lower())
+        h = lm.w.word_hashes(*(lambda b: (b, *lm.w.spans(b, np.array([0, len(b)]))[:2]))(np.frombuffer((t or "").encode(), np.uint8)), lower=True) if ws else []
+        hashed[i, t] = [*[int(x) for x in h], int(lm.END)]
+        if zlib.crc32((i or "").encode()) % 7 != 2:
+            counts.update(hashed[i, t])
+    r, c1, c2, q, bias, q2, bias2 = (x.astype(float) for x in m.p)
+    rare = {x: n for x, n in counts.items() if x not in set(v.top.tolist())}
+    assert len(v.own) and set(v.own.tolist()) == {x for x, n in rare.items() if n >= max(2, int(math.sqrt(sum(counts.values())) / lm.UNIT_SHARE))}
+    bins = Counter()
+    for x, n in rare.items():
+        if x not in set(v.own.tolist()):
+            bins[x >> int(v.shift)] += n + 1
+    softmax = lambda z: z - math.log(np.exp(z).sum())
+    for row in out:
+        text = next(t for i, t in rows if i == row.doc_id)
+        ctx, want = [v.bos, v.bos], 0.0
+        for x in hashed[row.doc_id, text]:
+            vec = r[ctx[0]] @ c1 + r[ctx[1]] @ c2
+            cls = v.top.tolist().index(x) + 1 if x in v.top.tolist() else 0
+            want += softmax(q @ vec + bias)[cls]
+            if not cls:
+                unit = v.own.tolist().index(x) if x in v.own.tolist() else len(v.own) + (x >> int(v.shift))
+                want += softmax(q2 @ vec + bias2)[unit]
+                want += math.log((counts[x] + 1) / (bins[x >> int(v.shift)] + 1)) if unit >= len(v.own) else 0
+            ctx = [cls or v.bos + 1 + (x >> 56), ctx[0]]
+        assert math.isclose(row.score, want / math.log(10), rel_tol=1e-4)
+    assert lm.score(spark.createDataFrame([], "doc_id string, text string")).count() == 0
 
 
 def test_sentencepiece_equals_the_library(spark):
