@@ -167,23 +167,36 @@ def test_pii_redacts_and_keeps_columns(spark):
     assert find(df.limit(0)).count() == 0
 
 
-def test_token_counts(spark, tmp_path):
-    from clausework.llm.token_counts import _encoding, VOCABULARY, count_tokens, document_counts, read_blocks
+def test_token_counts(spark):
+    from clausework.llm.token_counts import _encoding, VOCABULARY, count_tokens
 
-    docs = frame(spark, [*EDGE[:4], (9, "hello world " * 500)])
-    got = {r.doc_id: r.n_tokens for r in count_tokens(docs, block_tokens=64).collect()}
+    rows = [*EDGE, (9, "hello world " * 500), (None, "no id"), (9, "hello")]
     enc = _encoding(VOCABULARY)
-    assert got == {i: len(enc.encode_ordinary(t or "")) for i, t in [*EDGE[:4], (9, "hello world " * 500)]}
+    for block in (64, 1 << 19):
+        got = sorted((r.doc_id or 0, r.n_tokens) for r in count_tokens(frame(spark, rows), block_tokens=block).collect())
+        assert got == sorted((i or 0, len(enc.encode_ordinary(t or ""))) for i, t in rows)
+    assert count_tokens(frame(spark, rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("width", [2, 4])
+def test_separator_scan_of_flat_files(spark, tmp_path, width):
+    """Every block size gives the documents that a plain scan of the file gives."""
+    from clausework.llm.token_counts import document_counts, token_files
+
     rnd = np.random.default_rng(0)
-    flat = rnd.integers(0, 6, 1000).astype("<u2")
-    (tmp_path / "a.bin").write_bytes(flat.tobytes())
-    rows = sorted((r.ordinal, r.start, r.n_tokens, r.complete) for r in document_counts(read_blocks(spark, str(tmp_path), block_tokens=7), end=0, block_tokens=7).collect())
+    flat = rnd.integers(0, 6, 1000).astype(f"<u{width}")
+    (tmp_path / "a.bin").write_bytes(flat.tobytes() + b"\x01")  # and a part of a token
+    (tmp_path / "b.bin").write_bytes(np.array([3, 0, 0, 5], f"<u{width}").tobytes())
+    (tmp_path / "c.bin").write_bytes(b"")
     want, start = [], 0
     for i in [*np.flatnonzero(flat == 0), 1000]:
         if i < 1000 or start < 1000:
-            want.append((len(want), start, int(i) - start, i < 1000))
+            want.append(("a", len(want), start, int(i) - start, i < 1000))
         start = int(i) + 1
-    assert rows == want
+    want += [("b", 0, 0, 1, True), ("b", 1, 2, 0, True), ("b", 2, 3, 1, False)]
+    for block in (7, 333, 1 << 16):
+        out = document_counts(token_files(spark, str(tmp_path)), end=0, token_bytes=width, block_tokens=block).collect()
+        assert sorted((r.stream[-5], r.ordinal, r.start, r.n_tokens, r.complete) for r in out) == want
 
 
 def test_lm_scores(spark):
