@@ -6,9 +6,11 @@ without sentence labels. Training is numpy on the driver over a sample of at mos
 bytes (the documented bound; rows in order of a hash of the id); scoring is Arrow batches over every whole text, with the
 weight table of 2^FEATURE_BITS floats broadcast.
 
-Defined results. Null, empty or word-less texts get the score of one empty sentence, the bias alone. Rows that repeat an id are
-scored row by row. Documents without a label, and labels without a document, do not train; with no labelled rows at all, or
-one class only, the bias is the smoothed share of label 1. Extra columns are ignored; an empty table gives an empty result.
+Defined results. Null, empty or word-less texts get the score of one empty sentence, the bias alone. Rows that repeat an id, or have
+none, are scored row by row; a null id counts as the empty text in the fold. Of several labels of an id the largest counts. Documents without
+a label, and labels without a document, do not train; with no labelled rows at all, or one class only, the bias is the smoothed share of
+label 1. Of sentences with equal scores the first is the most offending. Texts are scored whole whatever their length. Extra columns,
+whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -101,14 +103,15 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     """The bounded training sample."""
     lab = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
     lab = lab.orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_DOCS)
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(lab), "_id")
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t")).join(F.broadcast(lab), "_id")
     # written in one distributed job, so that the driver reads only the sample, in order of the hash
     rows = materialise(rows.select("t", "y", F.xxhash64("_id").alias("o")), "sample").orderBy("o", "t").select("t", "y").toLocalIterator(prefetchPartitions=False)
     texts, ys, left = [], [], TRAIN_BYTES
     for r in rows:
-        left -= len(r["t"])
-        if left < 0 or len(texts) >= TRAIN_DOCS:
-            break
+        size = len(r["t"].encode())
+        if size > left or len(texts) >= TRAIN_DOCS:
+            continue  # a text beyond the bound leaves room for the shorter ones after it
+        left -= size
         texts.append(r["t"])
         ys.append(r["y"])
     return texts, np.array(ys, np.int64)
@@ -135,12 +138,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
                     first[owner[best]], last[owner[best]], top[owner[best]] = spans[:, 1], spans[:, 2], p[best]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(q), pa.array(first), pa.array(last), pa.array(top)], names=["doc_id", "score", "worst_start", "worst_end", "worst_score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, score double, worst_start long, worst_end long, worst_score double")
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(w.released(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double, worst_start long, worst_end long, worst_score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """score() of all documents, learning only from rows whose crc32(id) mod folds is not held; with held_out and predicted."""
-    fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+    fold = F.pmod(F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
     model = train(*sample(docs.where(fold != held), labels, id_col, text_col, label_col))
     out = score(docs, model, id_col, text_col)
     mine = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds))

@@ -101,6 +101,40 @@ def test_toxicity_held_out(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in out)
 
 
+def test_toxicity_score_by_brute_force(spark):
+    """score() against the noisy-or over sentences written out in plain Python, and where it points."""
+    from clausework.llm import _words as w
+    from clausework.llm.toxicity import FEATURE_BITS, score, toxicity
+
+    rnd = np.random.default_rng(3)
+    weights, bias = rnd.normal(0, 1, 1 << FEATURE_BITS).astype(np.float32), -2.0
+    r = random.Random(9)
+    rows = [(i, "".join(r.choice(["Bad", "good ", "x1", ".", "! ", "?", "\n", " ", "é", "-", ", "]) for _ in range(r.randrange(60)))) for i in range(80)] + EDGE
+    rows.append((None, "a. b. " * 30_000))
+
+    def feature(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return int(w.word_hashes(raw, np.array([0]), np.array([len(raw)]), lower=True)[0] >> np.uint64(64 - FEATURE_BITS))
+
+    known = {}
+    for (i, t), got in zip(rows, score(frame(spark, rows), (weights, bias)).collect(), strict=True):
+        quiet, best = 1.0, (-1.0, 0, 0)
+        for m in re.finditer(r"[^.!?\n]+", t or ""):
+            ws = [x for x in re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", m[0])]
+            if ws:
+                z = bias + sum(float(weights[f]) for f in {known.setdefault(x, feature(x)) for x in ws})
+                p = 1 / (1 + math.exp(-z))
+                quiet *= 1 - p
+                best = max(best, (p, 0, 0))
+        want = 1 - quiet if best[0] >= 0 else 1 / (1 + math.exp(-bias))
+        assert got.doc_id == i and math.isclose(got.score, want, rel_tol=1e-6, abs_tol=1e-9)
+        assert math.isclose(got.worst_score, max(best[0], 0), rel_tol=1e-6)
+    few = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    out = toxicity(frame(spark, rows), few).collect()
+    assert len(out) == len(rows) and {r.score for r in out if r.worst_score == 0} == {0.75}  # the share of label 1, smoothed, for texts without words
+    assert toxicity(frame(spark, rows), few.limit(0)).count() == len(rows) and toxicity(frame(spark, rows).limit(0), few).count() == 0
+
+
 @pytest.mark.parametrize(
     ("text", "base", "more"),
     [
