@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clausework.functions import text as tx
 from clausework.operators import joins, windows
-from clausework.plans import group_queries, rule_queries
+from clausework.plans import clause_queries, group_queries, record_queries, rule_queries, table_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,47 +29,6 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _like(column: str, words: tuple[str, ...]) -> str:
-    return "(" + " OR ".join(f"contains({column}, '{x}')" for x in words) + ")"
-
-
-_SENTENCES = "SELECT doc_id, lang, trim(s) AS s FROM (SELECT doc_id, lang, unnest(regexp_split_to_array(coalesce(text, ''), '[.!?\\n]+')) AS s FROM documents) WHERE trim(s) <> ''"
-_LIKE = f"(NOT starts_with(trim(lower(s)), 'summary') AND {_like('lower(s)', tx.REQUIREMENT_SIGNALS)})"
-_KIND = f"CASE WHEN {_like('lower(s)', ('performance', 'security', 'reliab'))} THEN 'non_functional' WHEN {_like('lower(s)', ('must not', 'shall not', 'limit', 'only'))} THEN 'constraint' ELSE 'functional' END"
-
-
-def _sentences(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", "lang", F.explode(tx.sentences(F.col("text"))).alias("s"))
-
-
-@_query(f"SELECT lang, {_KIND} AS kind, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({_SENTENCES}) WHERE {_LIKE} GROUP BY 1, 2")
-def requirement_kinds(spark, d):
-    s = F.col("s")
-    return _sentences(spark, d).where(tx.requirement_like(s)).groupBy("lang", tx.requirement_kind(s).alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
-
-
-@_query(f"""SELECT CASE WHEN {_like('lower(s)', ('shall', 'must'))} THEN 'strong' WHEN contains(lower(s), 'should') THEN 'weak'
- WHEN {_like('lower(s)', ('may ', 'can '))} THEN 'option' ELSE 'none' END AS signal, count(*) AS n FROM ({_SENTENCES}) GROUP BY 1""")
-def obligation_signals(spark, d):
-    return _sentences(spark, d).groupBy(tx.obligation(F.col("s")).alias("signal")).agg(F.count("*").alias("n"))
-
-
-@_query(f"SELECT doc_id, count(*) AS n FROM ({_SENTENCES}) WHERE {_like('lower(s)', tx.AMBIGUOUS_WORDS)} GROUP BY 1")
-def ambiguous_sentences(spark, d):
-    return _sentences(spark, d).where(tx.any_of(F.lower("s"), tx.AMBIGUOUS_WORDS)).groupBy("doc_id").agg(F.count("*").alias("n"))
-
-
-@_query("SELECT doc_id, 'SREQ-' || upper(substr(sha256(coalesce(source, '') || chr(10) || coalesce(text, '')), 1, 16)) AS stable_id FROM documents")
-def stable_ids(spark, d):
-    return _t(spark, d, "documents").select("doc_id", tx.stable_id(F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))).alias("stable_id"))
-
-
-@_query("SELECT p_partkey, CASE WHEN regexp_matches(v, '^[=+\\-@\\t\\r]') AND NOT regexp_matches(v, '^[+-]?[0-9]+(\\.[0-9]+)?$') THEN '''' || v ELSE v END AS safe FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '=' WHEN 1 THEN '-' ELSE '' END || p_size AS v FROM part)")
-def formula_guard(spark, d):
-    head = F.when(F.col("p_partkey") % 3 == 0, "=").when(F.col("p_partkey") % 3 == 1, "-").otherwise("")
-    return _t(spark, d, "part").select("p_partkey", tx.formula_safe(F.concat(head, F.col("p_size"))).alias("safe"))
-
-
 @_query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), '[0-9]+'))), ',') AS ints FROM documents")
 def integer_sets(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.array_join(tx.ints(F.coalesce("text", F.lit(""))), ",").alias("ints"))
@@ -82,16 +41,6 @@ def term_frequency(spark, d):
     return per.groupBy("token").agg(F.sum("c").alias("n"), F.count("*").alias("docs")).orderBy(F.desc("n"), "token").limit(50)
 
 
-_COMPACT = "regexp_replace(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
-
-
-@_query(f"SELECT md5(k) AS fingerprint, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, {_COMPACT.format('text')} AS k FROM documents) WHERE length(k) >= 20 GROUP BY k HAVING count(*) > 1")
-def duplicate_quotes(spark, d):
-    k = tx.compact(F.col("text"))
-    docs = _t(spark, d, "documents").select("doc_id", F.length(k).alias("n"), F.md5(k.cast("binary")).alias("fingerprint")).where("n >= 20")
-    return docs.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
-
-
 @_query("SELECT lang, count(*) AS docs, sum(CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END) AS labelled, round(sum(CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END) / count(*), 4) AS coverage FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
 def label_coverage(spark, d):
     j = _t(spark, d, "documents").select("doc_id", "lang").join(_t(spark, d, "labels").select("doc_id", F.lit(1).alias("y")), "doc_id", "left")
@@ -183,49 +132,6 @@ def last_decisions(spark, d):
     return windows.last_decision(e, ["user_id"], ["ts", "event_id"]).select("user_id", "event_type", "value")
 
 
-@_query("SELECT event_type, previous, count(*) AS n FROM (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events) GROUP BY 1, 2")
-def transitions(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = _t(spark, d, "events").select("event_type", F.lag("event_type").over(w).alias("previous"))
-    return e.groupBy("event_type", "previous").agg(F.count("*").alias("n"))
-
-
-@_query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
-def rollup_counts(spark, d):
-    return _t(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
-
-
-@_query("SELECT o_orderpriority, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS f, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS o, sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS p FROM orders GROUP BY 1")
-def metric_pivot(spark, d):
-    one = lambda x: F.sum((F.col("o_orderstatus") == x).cast("int"))
-    return _t(spark, d, "orders").groupBy("o_orderpriority").agg(one("F").alias("f"), one("O").alias("o"), one("P").alias("p"))
-
-
-@_query("SELECT c_nationkey, kind, n FROM (SELECT c_nationkey, count(*) FILTER (c_acctbal < 0) AS debt, count(*) FILTER (c_acctbal >= 0) AS credit FROM customer GROUP BY 1) UNPIVOT (n FOR kind IN (debt, credit))")
-def matrix_unpivot(spark, d):
-    m = _t(spark, d, "customer").groupBy("c_nationkey").agg(F.count_if(F.col("c_acctbal") < 0).alias("debt"), F.count_if(F.col("c_acctbal") >= 0).alias("credit"))
-    return m.unpivot(["c_nationkey"], ["debt", "credit"], "kind", "n")
-
-
-@_query("SELECT t.threshold, count(*) FILTER (o_totalprice >= threshold) AS n FROM orders, (VALUES (50000), (100000), (200000)) t(threshold) GROUP BY 1")
-def threshold_grid(spark, d):
-    grid = F.explode(F.array(*[F.struct(F.lit(x).alias("threshold"), (F.col("o_totalprice") >= x).cast("int").alias("hit")) for x in (50000, 100000, 200000)]))
-    return _t(spark, d, "orders").select(grid.alias("g")).groupBy("g.threshold").agg(F.sum("g.hit").alias("n"))
-
-
-@_query("SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_name, p_partkey) AS place FROM part ORDER BY p_name, p_partkey LIMIT 20 OFFSET 40")
-def part_page(spark, d):
-    page = _t(spark, d, "part").select("p_partkey", "p_name").orderBy("p_name", "p_partkey").offset(40).limit(20)
-    return page.withColumn("place", (F.row_number().over(Window.orderBy("p_name", "p_partkey")) + 40))
-
-
-@_query("SELECT r_name, n_name, sum(l_extendedprice * (1 - l_discount)) AS revenue FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
-def nation_revenue(spark, d):
-    lines = _t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))  # before the joins
-    j = lines.join(_t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(_t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return j.join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name", "n_name").agg(F.sum("r").alias("revenue"))
-
-
 @_query("SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS with_k FROM events GROUP BY 1")
 def json_paths(spark, d):
     return _t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.get_json_object("props", "$.k")).alias("with_k"))
@@ -238,14 +144,22 @@ def html_links(spark, d):
     return _t(spark, d, "pages").select("page_id", F.size(links(F.col("html"))).alias("links"))
 
 
-@_query()
+QUERIES |= group_queries.QUERIES
+ORACLE |= group_queries.ORACLE
+@_query(
+    """WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
+c AS (SELECT page_id, regexp_extract_all(h, '(?s)<h[1-6][^>]*>(.*?)</h[1-6]>', 1) AS hs, string_split_regex(h, '<p[^>]*>')[2:] AS ps FROM p)
+SELECT page_id AS id, CAST(len(list_filter(hs, lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g')) <> '')) AS BIGINT) AS headings,
+CAST(len(list_filter(ps, lambda x: trim(regexp_replace(regexp_replace(regexp_extract(x, '(?s)^(.*?)(</p>|</article>|</div>|<h[1-6]|<footer|$)', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) <> '')) AS BIGINT) AS paragraphs FROM c"""
+)
 def html_blocks(spark, d):
-    from clausework.sources.files import html_text
+    from clausework.sources.files import html_blocks as blocks
 
-    return _t(spark, d, "pages").select("page_id", html_text(F.col("html")).alias("text"))
+    count = lambda x: F.count_if(F.col("type") == x)
+    b = blocks(_t(spark, d, "pages"), "page_id", "html")
+    return b.groupBy("id").agg(count("heading").alias("headings"), count("paragraph").alias("paragraphs"))
 
 
-QUERIES |= group_queries.QUERIES
-ORACLE |= group_queries.ORACLE
-QUERIES |= rule_queries.QUERIES
-ORACLE |= rule_queries.ORACLE
+for module in (rule_queries, clause_queries, record_queries, table_queries):
+    QUERIES |= module.QUERIES
+    ORACLE |= module.ORACLE

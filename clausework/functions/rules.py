@@ -75,10 +75,23 @@ DOMAINS = (
 )
 
 
+#: Words of which one stands wherever the pattern finds something; looked for first, as most lines have none.
+MODAL_HINTS = ("shall", "must", "should", "required", "mandatory", "应当", "必须", "不得", "应满足", "应支持", "须符合")
+PATTERN_HINTS = ("can", "value", "always", "ends", "valid")
+
+
 def _v(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def _has_modal(v: Column) -> Column:
+    return any_of(F.lower(v), MODAL_HINTS) & v.rlike(MODAL)
+
+
+def _has_pattern(v: Column) -> Column:
+    return any_of(F.lower(v), PATTERN_HINTS) & v.rlike(PATTERN)
+
+
 def any_pattern(patterns: tuple[str, ...]) -> str:
     """One pattern that finds what any of them finds, so that a text is scanned once."""
     return "|".join(f"(?:{p})" for p in patterns)
@@ -142,8 +155,8 @@ def obligation_signal(text: Column) -> Column:
     return (
         F.when(F.trim(v) == "", "none")
         .when(is_marker(v), "marker")
-        .when(v.rlike(MODAL), "modal")
-        .when(v.rlike(PATTERN), "pattern")
+        .when(_has_modal(v), "modal")
+        .when(_has_pattern(v), "pattern")
         .when(F.trim(v).rlike(COLON_SPEC), "colon_spec")
         .when(sentence, "sentence_shape")
         .otherwise("none")
@@ -166,8 +179,10 @@ def is_metadata_spec(text: Column) -> Column:
 
 
 def is_normative(text: Column) -> Column:
-    signal = obligation_signal(text)
-    return signal.isin("modal", "pattern") | ((signal == "colon_spec") & is_technical_spec(text))
+    """Signal modal or pattern, or a technical specification; no marker. Each pattern is tried once."""
+    v = _v(text)
+    technical = F.contains(v, F.lit(":")) & is_technical_spec(v)
+    return (_has_modal(v) | _has_pattern(v) | technical) & ~is_marker(v)
 
 
 def is_coverage_candidate(text: Column, kind: Column, region: Column, noise: Column) -> Column:
@@ -180,7 +195,8 @@ def is_coverage_candidate(text: Column, kind: Column, region: Column, noise: Col
 def domain_tags(text: Column) -> Column:
     """Tags of all rules that find a term, in rule order."""
     low = F.lower(_v(text))
-    return F.array_compact(F.array(*[F.when(low.rlike(term_pattern(terms)), F.lit(tag)) for tag, terms in DOMAINS]))
+    # a term is looked for as it stands before its borders are checked: most lines hold none
+    return F.array_compact(F.array(*[F.when(any_of(low, terms) & low.rlike(term_pattern(terms)), F.lit(tag)) for tag, terms in DOMAINS]))
 
 
 def primary_domain(tags: Column) -> Column:

@@ -31,6 +31,7 @@ REFERENCES = (
     r"(?i)(?<![A-Za-z])(?:subclause|clause|table|figure|annex|type|part|class|note|section|chapter)\s+\d{1,2}(?![0-9])",
 )
 STOPWORDS = ("the", "a", "an", "of", "for", "and", "to", "in", "on", "shall", "must", "should", "be", "is", "are", "with", "by", "or", "as", "at", "per", "when", "that", "this")
+CJK_STOPWORDS = ("需求", "要求", "功能", "支持", "应", "必须", "可", "及", "与", "和", "或")
 ASSOCIATIONS = ("RC", "PC", "SC", "LC")
 
 
@@ -136,6 +137,7 @@ def search_tokens(text: Column) -> Column:
     low = F.lower(_v(text))
     latin = F.filter(F.regexp_extract_all(low, F.lit("[0-9a-z]+"), F.lit(0)), lambda x: (F.length(x) >= 2) & ~x.isin(*STOPWORDS))
     runs = F.filter(F.regexp_extract_all(low, F.lit("[一-鿿]+"), F.lit(0)), lambda x: F.length(x) >= 2)
+    # a stop word as a whole run is no token by itself, but its run and pairs are
     pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))))
     return F.array_distinct(F.concat(latin, runs, pairs))
 

@@ -7,51 +7,12 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values
-REQUIREMENT_SIGNALS = ("shall", "must", "should", "required", "requirement", "mandatory", "only")
-AMBIGUOUS_WORDS = ("appropriate", "adequate", "sufficient", "as needed", "etc", "normally")
-
 
 def any_of(text: Column, words: tuple[str, ...]) -> Column:
     """Whether the text contains one of the words as a substring."""
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in words])
 
 
-def clean(text: Column) -> Column:
-    """Runs of white space to one space, trimmed; null to the empty text."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
-
-
-def compact(text: Column) -> Column:
-    """Lower case letters and digits only: the key under which texts count as the same."""
-    return F.regexp_replace(F.lower(clean(text)), r"[^\p{L}\p{N}]+", "")
-
-
-def requirement_like(text: Column) -> Column:
-    low = F.lower(text)
-    return ~F.startswith(F.trim(low), F.lit("summary")) & any_of(low, REQUIREMENT_SIGNALS)
-
-
-def requirement_kind(text: Column) -> Column:
-    low = F.lower(text)
-    return F.when(any_of(low, ("performance", "security", "reliab")), "non_functional").when(any_of(low, ("must not", "shall not", "limit", "only")), "constraint").otherwise("functional")
-
-
-def obligation(text: Column) -> Column:
-    """Strength of the first obligation verb, strongest first."""
-    low = F.lower(text)
-    return F.when(any_of(low, ("shall", "must")), "strong").when(F.contains(low, F.lit("should")), "weak").when(any_of(low, ("may ", "can ")), "option").otherwise("none")
-
-
-def formula_safe(value: Column) -> Column:
-    """A leading quote for strings that a spreadsheet would run as a formula, but not for plain numbers."""
-    return F.when(value.rlike(r"^[=+\-@\t\r]") & ~value.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$"), F.concat(F.lit("'"), value)).otherwise(value)
-
-
-def stable_id(*parts: Column) -> Column:
-    return F.concat(F.lit("SREQ-"), F.upper(F.substring(F.sha2(F.concat_ws("\n", *parts), 256), 1, 16)))
-
-
 def ints(text: Column) -> Column:
     """Distinct integers in the text as sorted strings."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0))))

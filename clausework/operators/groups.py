@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def first_wins(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """The row of lowest order of each key; a grouped minimum, which combines before it shuffles."""
+    """The row of lowest order of each key; a grouped minimum, which combines before it shuffles. Ties in the order go to any of the rows."""
     rest = [c for c in df.columns if c not in by]
-    picked = F.min(F.struct(*order, *[c for c in rest if c not in order])).alias("_r")
+    picked = F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")
     return df.groupBy(*by).agg(picked).select(*by, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
@@ -28,9 +28,13 @@ def counter_delta(before: DataFrame, after: DataFrame, key: str, value: str) ->
 
 
 def stride_sample(df: DataFrame, rate: float, by: list[str], order: list[str]) -> DataFrame:
-    """Evenly spaced rows of each group in the stated order, `rate` of them; the same rows on every run."""
-    i = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("_i", i).where(F.floor(F.col("_i") * rate) > F.floor((F.col("_i") - 1) * rate)).drop("_i")
+    """Evenly spaced rows of each group in the stated order, `rate` of them but one at least, from the first on; the same rows on every run."""
+    at, n = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1, F.count("*").over(Window.partitionBy(*by))
+    rows = df.withColumns({"_at": at, "_n": n}).withColumn("_goal", F.greatest(F.lit(1), F.bround(F.col("_n") * rate)).cast("long"))
+    # row _at is the i-th pick where floor(i * n / goal) is _at; i is _at * goal / n, rounded
+    near = F.floor(F.col("_at") * F.col("_goal") / F.col("_n"))
+    picked = lambda i: (i >= 0) & (i < F.col("_goal")) & (F.floor(i * (F.col("_n") / F.col("_goal"))) == F.col("_at"))
+    return rows.where((F.col("_goal") >= F.col("_n")) | picked(near - 1) | picked(near) | picked(near + 1)).drop("_at", "_n", "_goal")
 
 
 def occurrence_suffix(df: DataFrame, name: str, by: list[str], order: list[str]) -> DataFrame:

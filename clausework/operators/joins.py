@@ -12,17 +12,22 @@ def as_of(left: DataFrame, right: DataFrame, key: str, order: str, value: str, f
     Both sides are stacked and carried along one window, so cost is one sort of the key's rows and no pairs are made. With equal
     order a right row counts as before; rows of right with equal order are taken in order of value. Null keys match nothing.
     """
+    nothing = F.lit(None).cast(right.schema[value].dataType)
+    unkeyed = left.where(F.col(key).isNull()).withColumn(value, nothing)  # set aside, so that they gather in no task
+    left, right = left.where(F.col(key).isNotNull()), right.where(F.col(key).isNotNull())
     a = left.withColumns({"_side": F.lit(0 if forward else 1), "_v": F.lit(None).cast(right.schema[value].dataType)})
     b = right.select(F.col(key), F.col(order), F.lit(1 if forward else 0).alias("_side"), F.col(value).alias("_v"))
     both = a.unionByName(b, allowMissingColumns=True)
     at = Window.partitionBy(key).orderBy(*((F.desc(order), F.desc("_side"), F.desc("_v")) if forward else (F.asc(order), F.asc("_side"), F.asc("_v"))))
     found = F.last("_v", ignorenulls=True).over(at.rowsBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn(value, F.when(F.col(key).isNotNull(), found)).where(F.col("_side") == (0 if forward else 1))
-    return out.select(*left.columns, value)
+    out = both.withColumn(value, found).where(F.col("_side") == (0 if forward else 1))
+    return out.select(*left.columns, value).unionByName(unkeyed)
 
 
 def band(left: DataFrame, right: DataFrame, on: Column, left_value: str, right_value: str, width: float, keys: list[str]) -> DataFrame:
     """Pairs of equal keys whose values differ by `width` at most: an equi-join on cells of that width and their neighbours."""
+    if width <= 0:
+        return left.join(right.withColumnsRenamed({}), [*keys]).where(on & (F.col(left_value) == F.col(right_value)))
     a = left.withColumn("_cell", F.explode(F.array(*[F.floor(F.col(left_value) / width) + i for i in (-1, 0, 1)])))
     b = right.withColumn("_cell", F.floor(F.col(right_value) / width))
     return a.join(b, [*keys, "_cell"]).where(on & (F.abs(F.col(left_value) - F.col(right_value)) <= width)).drop("_cell")

@@ -267,7 +267,8 @@ def leaves(found: DataFrame, rows: DataFrame, heads: DataFrame, dims: DataFrame,
     identity = ~F.col("marker") & (F.length("text") <= IDENTITY_LENGTH) & F.coalesce(F.col("c") < F.col("last_cell"), F.lit(False))
     silent = F.col("open") & (F.col("leaf") == "context") & (F.col("open_meta") == 0) & (F.col("signal") == "none") & ~identity
     # a weak sentence counts where it fell to context, but for cells set aside before the signal was asked
-    fell = (F.col("leaf") == "context") & weak & ~F.col("group_header")
+    aside = (F.col("role") == "data") & F.col("kind").isin("mapping_matrix", "prose_grid") & ((F.col("c") == 1) | (matrix & F.col("header").rlike(records.NOTE_HEADER)))
+    fell = (F.col("leaf") == "context") & weak & ~F.col("group_header") & ~aside
     candidate = (
         F.when((F.col("role") != "data") & F.col("ambiguous"), "ambiguous_structure")
         .when(fell, "weak_signal")

@@ -41,7 +41,8 @@ def counter_deltas(spark, d):
     return groups.counter_delta(count("l_linenumber <= 2"), count("l_linenumber >= 2"), "k", "n")
 
 
-@_query("SELECT c_nationkey, c_custkey FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer) WHERE floor(i * CAST(0.25 AS DOUBLE)) > floor((i - 1) * CAST(0.25 AS DOUBLE))")
+@_query("""WITH g AS (SELECT c_nationkey, list(c_custkey ORDER BY c_custkey) AS ids FROM customer GROUP BY 1), n AS (SELECT *, len(ids) AS n, greatest(1, CAST(round_even(len(ids) * 0.25, 0) AS BIGINT)) AS goal FROM g)
+SELECT c_nationkey, unnest(CASE WHEN goal >= n THEN ids ELSE list_transform(range(0, goal), lambda i: ids[CAST(floor(i * (CAST(n AS DOUBLE) / goal)) AS BIGINT) + 1]) END) AS c_custkey FROM n""")
 def verifier_sample(spark, d):
     return groups.stride_sample(_t(spark, d, "customer").select("c_nationkey", "c_custkey"), 0.25, ["c_nationkey"], ["c_custkey"])
 

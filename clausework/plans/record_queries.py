@@ -21,8 +21,8 @@ def _part(spark: SparkSession, d: str) -> DataFrame:
 _PART = "(SELECT p_partkey AS id, p_size AS z, p_name AS name, p_brand AS brand FROM part)"
 
 
-def _rows(name: str, columns: dict[str, tuple[Column, str]], of=_part, sql: str = _PART) -> None:
-    QUERIES[name] = lambda spark, d: of(spark, d).select("id", *(c.alias(k) for k, (c, _) in columns.items()))
+def _rows(name: str, columns: dict[str, tuple[Callable[[], Column], str]], of=_part, sql: str = _PART) -> None:
+    QUERIES[name] = lambda spark, d: of(spark, d).select("id", *(c().alias(k) for k, (c, _) in columns.items()))
     ORACLE[name] = "SELECT id, " + ", ".join(f"{q} AS {k}" for k, (_, q) in columns.items()) + f" FROM {sql}"
 
 
@@ -30,97 +30,101 @@ def _map(*pairs) -> Column:
     return F.create_map(*(F.lit(x) if isinstance(x, str) else x for x in pairs))
 
 
-ID, Z, NAME, BRAND = F.col("id"), F.col("z").cast("string"), F.col("name"), F.col("brand")
-_FIELDS = (
-    F.when(ID % 4 == 0, _map("#", Z, "Object/attribute  name", NAME, "CL", "3"))
-    .when(ID % 4 == 1, _map("Object/Attribute_Name", NAME, "CL", F.when(ID % 3 == 0, "").otherwise(Z)))
-    .when(ID % 4 == 2, _map("Service", BRAND, "GET mode", "x", "SET mode", Z, "Remarks", NAME, "Status", "open"))
-    .otherwise(_map("Func tion", F.when(ID % 3 == 0, "7.1").otherwise(NAME), "Limit", Z, "Range", F.concat(F.lit(" "), BRAND)))
+def _z() -> Column:
+    return F.col("z").cast("string")
+
+
+# expressions are made when a query runs, as they need a session
+_FIELDS = lambda: (
+    F.when(F.col("id") % 4 == 0, _map("#", _z(), "Object/attribute  name", F.col("name"), "CL", "3"))
+    .when(F.col("id") % 4 == 1, _map("Object/Attribute_Name", F.col("name"), "CL", F.when(F.col("id") % 3 == 0, "").otherwise(_z())))
+    .when(F.col("id") % 4 == 2, _map("Service", F.col("brand"), "GET mode", "x", "SET mode", _z(), "Remarks", F.col("name"), "Status", "open"))
+    .otherwise(_map("Func tion", F.when(F.col("id") % 3 == 0, "7.1").otherwise(F.col("name")), "Limit", _z(), "Range", F.concat(F.lit(" "), F.col("brand"))))
 )
 _rows(
     "row_fields",
     {
-        "cl": (records.field(_FIELDS, "CL"), "CASE id % 4 WHEN 0 THEN '3' WHEN 1 THEN CASE WHEN id % 3 = 0 THEN '' ELSE CAST(z AS VARCHAR) END ELSE '' END"),
-        "named": (records.field(_FIELDS, "object/attribute name"), "CASE WHEN id % 4 < 2 THEN name ELSE '' END"),
-        "close": (records.field(_FIELDS, "Function"), "CASE WHEN id % 4 = 3 THEN CASE WHEN id % 3 = 0 THEN '7.1' ELSE name END ELSE '' END"),
-        "header": (records.is_object_header(_FIELDS), "id % 4 = 0 OR (id % 4 = 1 AND id % 3 <> 0)"),
-        "attribute": (records.is_attribute_row(_FIELDS), "id % 4 = 0"),
-        "non_matrix": (records.is_non_matrix_row(_FIELDS), "id % 4 < 2"),
+        "cl": (lambda: records.field(_FIELDS(), "CL"), "CASE id % 4 WHEN 0 THEN '3' WHEN 1 THEN CASE WHEN id % 3 = 0 THEN '' ELSE CAST(z AS VARCHAR) END ELSE '' END"),
+        "named": (lambda: records.field(_FIELDS(), "object/attribute name"), "CASE WHEN id % 4 < 2 THEN name ELSE '' END"),
+        "close": (lambda: records.field(_FIELDS(), "Function"), "CASE WHEN id % 4 = 3 THEN CASE WHEN id % 3 = 0 THEN '7.1' ELSE name END ELSE '' END"),
+        "header": (lambda: records.is_object_header(_FIELDS()), "id % 4 = 0 OR (id % 4 = 1 AND id % 3 <> 0)"),
+        "attribute": (lambda: records.is_attribute_row(_FIELDS()), "id % 4 = 0"),
+        "non_matrix": (lambda: records.is_non_matrix_row(_FIELDS()), "id % 4 < 2"),
         "facts": (
-            F.array_join(F.transform(records.valued_facts(_FIELDS), lambda f: F.concat_ws("/", f["subject_header"], f["subject"], f["predicate_header"], f["value"])), ";"),
+            lambda: F.array_join(F.transform(records.valued_facts(_FIELDS()), lambda f: F.concat_ws("/", f["subject_header"], f["subject"], f["predicate_header"], f["value"])), ";"),
             "CASE WHEN id % 4 = 2 THEN 'Service/' || brand || '/SET mode/' || z WHEN id % 4 = 3 AND id % 3 <> 0 THEN 'Func tion/' || name || '/Limit/' || z || ';Func tion/' || name || '/Range/' || brand ELSE '' END",
         ),
     },
 )
-_ROW = F.array(F.when(ID % 5 == 0, "").when(ID % 5 == 1, "X").otherwise(NAME), F.when(ID % 2 == 0, " Yes").otherwise(Z), F.when(ID % 3 == 0, "mandatory").otherwise("-"))
-_ACCESS = F.when(ID % 3 == 0, "").when(ID % 3 == 1, " rw/ R-/--").otherwise("-/W/RW/R/x")
+_ROW = lambda: F.array(F.when(F.col("id") % 5 == 0, "").when(F.col("id") % 5 == 1, "X").otherwise(F.col("name")), F.when(F.col("id") % 2 == 0, " Yes").otherwise(_z()), F.when(F.col("id") % 3 == 0, "mandatory").otherwise("-"))
+_ACCESS = lambda: F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, " rw/ R-/--").otherwise("-/W/RW/R/x")
 _rows(
     "row_cells",
     {
         "marked": (
-            F.array_join(F.transform(records.marker_facts(F.array(F.lit("Object"), F.lit("GET")), _ROW, F.array(F.lit(2), F.lit(1), F.lit(9))), lambda f: F.concat_ws("/", f["subject"], f["predicate_header"], f["marker"])), ";"),
+            lambda: F.array_join(F.transform(records.marker_facts(F.array(F.lit("Object"), F.lit("GET")), _ROW(), F.array(F.lit(2), F.lit(1), F.lit(9))), lambda f: F.concat_ws("/", f["subject"], f["predicate_header"], f["marker"])), ";"),
             "CASE WHEN id % 5 < 2 THEN '' ELSE concat_ws(';', CASE WHEN id % 2 = 0 THEN name || '/GET/Yes' END, CASE WHEN id % 3 = 0 THEN name || '/column_3/mandatory' END) END",
         ),
         "rights": (
-            F.array_join(F.transform(records.access_rights(_ACCESS), lambda a: F.concat(a["client"], F.lit("="), a["code"], a["read"].cast("int").cast("string"), a["write"].cast("int").cast("string"), a["allowed"].cast("int").cast("string"))), " "),
+            lambda: F.array_join(F.transform(records.access_rights(_ACCESS()), lambda a: F.concat(a["client"], F.lit("="), a["code"], a["read"].cast("int").cast("string"), a["write"].cast("int").cast("string"), a["allowed"].cast("int").cast("string"))), " "),
             "CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN 'RC=RW111 PC=R-101 SC=--000 LC=000' ELSE 'RC=-001 PC=W011 SC=RW111 LC=R101' END",
         ),
-        "cells": (F.array_join(records.access_cells(_map("RC", Z, "LC", "R")), ","), "z || ',,,R'"),
+        "cells": (lambda: F.array_join(records.access_cells(_map("RC", _z(), "LC", "R")), ","), "z || ',,,R'"),
         "text": (
-            records.table_text(F.array(F.lit("a"), F.lit("b")), F.array(F.array(Z), F.array(NAME, F.lit("2"), F.lit("3")), F.array(BRAND)), 2),
+            lambda: records.table_text(F.array(F.lit("a"), F.lit("b")), F.array(F.array(_z()), F.array(F.col("name"), F.lit("2"), F.lit("3")), F.array(F.col("brand"))), 2),
             "'a | b' || chr(10) || z || ' | ' || chr(10) || name || ' | 2' || chr(10) || '... 1 more rows'",
         ),
         "kind": (
-            records.table_type(F.when(ID % 2 == 0, F.array(F.lit("Object/attribute name"), F.lit("CL"), F.lit("Value"))).when(ID % 3 == 0, F.array(F.lit("Event Number"))).otherwise(F.array(F.lit("x"))), ID % 7 == 0),
+            lambda: records.table_type(F.when(F.col("id") % 2 == 0, F.array(F.lit("Object/attribute name"), F.lit("CL"), F.lit("Value"))).when(F.col("id") % 3 == 0, F.array(F.lit("Event Number"))).otherwise(F.array(F.lit("x"))), F.col("id") % 7 == 0),
             "CASE WHEN id % 7 = 0 THEN 'marker_matrix' WHEN id % 2 = 0 THEN 'inherited_context_table' WHEN id % 3 = 0 THEN 'enumeration_with_code' ELSE 'row_table' END",
         ),
-        "joined": (records.joined(F.when(ID % 2 == 0, F.array(Z, NAME))), "CASE WHEN id % 2 = 0 THEN z || '; ' || name ELSE '' END"),
+        "joined": (lambda: records.joined(F.when(F.col("id") % 2 == 0, F.array(_z(), F.col("name")))), "CASE WHEN id % 2 = 0 THEN z || '; ' || name ELSE '' END"),
     },
 )
-_SIX = F.array(
-    F.when(ID % 4 == 0, "否").when(ID % 4 == 1, F.concat(F.lit("已确认（Ann "), Z, F.lit(" 2024-05-01）"))).when(ID % 4 == 2, "yes").otherwise(NAME),
+_SIX = lambda: F.array(
+    F.when(F.col("id") % 4 == 0, "否").when(F.col("id") % 4 == 1, F.concat(F.lit("已确认（Ann "), _z(), F.lit(" 2024-05-01）"))).when(F.col("id") % 4 == 2, "yes").otherwise(F.col("name")),
     F.lit(""),
     F.lit("已确认(Bo)"),
-    F.when(ID % 3 == 0, "Done").when(ID % 3 == 1, "进行中").otherwise("?"),
-    F.concat(F.lit(" T1; T"), Z, F.lit("、T3")),
-    F.when(ID % 2 == 0, "是").otherwise("no"),
+    F.when(F.col("id") % 3 == 0, "Done").when(F.col("id") % 3 == 1, "进行中").otherwise("?"),
+    F.concat(F.lit(" T1; T"), _z(), F.lit("、T3")),
+    F.when(F.col("id") % 2 == 0, "是").otherwise("no"),
 )
-_VER = records.verification(_SIX)
+_VER = lambda: records.verification(_SIX())
 _rows(
     "row_verifications",
     {
-        "manager": (F.concat_ws(":", _VER["project_manager"]["confirmed"].cast("string"), _VER["project_manager"]["by"]), "CASE id % 4 WHEN 0 THEN 'false:' WHEN 1 THEN 'true:Ann ' || z WHEN 2 THEN 'true:' ELSE 'true:' || trim(name) END"),
-        "lead": (_VER["test_lead"]["confirmed"], "false"),
-        "dev": (_VER["dev_test"]["by"], "'Bo'"),
-        "state": (_VER["implemented"], "CASE id % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'in_progress' ELSE 'not_started' END"),
-        "cases": (F.array_join(_VER["test_case_ids"], ","), "'T1,T' || z || ',T3'"),
-        "done": (_VER["test_completed"], "id % 2 = 0"),
+        "manager": (lambda: F.concat_ws(":", _VER()["project_manager"]["confirmed"].cast("string"), _VER()["project_manager"]["by"]), "CASE id % 4 WHEN 0 THEN 'false:' WHEN 1 THEN 'true:Ann ' || z WHEN 2 THEN 'true:' ELSE 'true:' || trim(name) END"),
+        "lead": (lambda: _VER()["test_lead"]["confirmed"], "false"),
+        "dev": (lambda: _VER()["dev_test"]["by"], "'Bo'"),
+        "state": (lambda: _VER()["implemented"], "CASE id % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'in_progress' ELSE 'not_started' END"),
+        "cases": (lambda: F.array_join(_VER()["test_case_ids"], ","), "'T1,T' || z || ',T3'"),
+        "done": (lambda: _VER()["test_completed"], "id % 2 = 0"),
     },
 )
-_JSON = F.concat(
+_JSON = lambda: F.concat(
     F.lit('{"title": "t", "description": "d", "type": "x", "priority": "P1", "module": "m", "source_quote": "q", "source_section": "4", "notes": "", "acceptance_criteria": [], "dev_guidance": [], "labels": '),
-    F.when(ID % 2 == 0, '["a"]').otherwise('"a"'),
-    F.when(ID % 3 == 0, ', "source_block_ids": []').otherwise(""),
-    F.when(ID % 5 == 0, ', "status": 7').otherwise(', "status": "draft"'),
+    F.when(F.col("id") % 2 == 0, '["a"]').otherwise('"a"'),
+    F.when(F.col("id") % 3 == 0, ', "source_block_ids": []').otherwise(""),
+    F.when(F.col("id") % 5 == 0, ', "status": 7').otherwise(', "status": "draft"'),
     F.lit("}"),
 )
 _rows(
     "row_contracts",
     {
-        "problems": (F.array_join(records.row_problems(_JSON), ","), "concat_ws(',', CASE WHEN id % 3 <> 0 THEN 'source_block_ids:missing' END, CASE WHEN id % 2 = 1 THEN 'labels:not_a_list' END, CASE WHEN id % 5 = 0 THEN 'status:not_text' END)"),
+        "problems": (lambda: F.array_join(records.row_problems(_JSON()), ","), "concat_ws(',', CASE WHEN id % 3 <> 0 THEN 'source_block_ids:missing' END, CASE WHEN id % 2 = 1 THEN 'labels:not_a_list' END, CASE WHEN id % 5 = 0 THEN 'status:not_text' END)"),
         "atomic": (
-            F.array_join(records.atomic_problems(F.concat(F.lit("AREQ-"), F.lpad(ID.cast("string"), 5, "0"), F.when(ID % 2 == 0, "1").otherwise("")), F.lit("SREQ-0123456789ABCDEF"), {"domain": F.when(ID % 3 == 0, " ").otherwise("d")}, F.array(F.when(ID % 5 == 0, "").otherwise("r")), (ID % 12) / 10), ","),
+            lambda: F.array_join(records.atomic_problems(F.concat(F.lit("AREQ-"), F.lpad(F.col("id").cast("string"), 5, "0"), F.when(F.col("id") % 2 == 0, "1").otherwise("")), F.lit("SREQ-0123456789ABCDEF"), {"domain": F.when(F.col("id") % 3 == 0, " ").otherwise("d")}, F.array(F.when(F.col("id") % 5 == 0, "").otherwise("r")), (F.col("id") % 12) / 10), ","),
             "concat_ws(',', CASE WHEN id % 2 = 1 THEN 'req_id' END, CASE WHEN id % 3 = 0 THEN 'domain' END, CASE WHEN id % 5 = 0 THEN 'source_refs' END, CASE WHEN id % 12 = 11 THEN 'confidence' END)",
         ),
-        "entry": (records.entry_matches(F.when(ID % 2 == 0, "core"), F.when(ID % 3 == 0, "object").otherwise("event"), "core", None, ("object", "function"), None), "id % 2 = 0 AND id % 3 = 0"),
+        "entry": (lambda: records.entry_matches(F.when(F.col("id") % 2 == 0, "core"), F.when(F.col("id") % 3 == 0, "object").otherwise("event"), "core", None, ("object", "function"), None), "id % 2 = 0 AND id % 3 = 0"),
     },
 )
-_COMMERCIAL = tender.is_commercial_table(
-    F.when(ID % 4 == 0, F.array(F.lit("Item"), F.lit("Unit_Price"))).when(ID % 4 == 1, F.array(F.lit("Parameter"))).otherwise(F.array(F.lit("Thing"))),
-    F.when(ID % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.when(ID % 5 == 0, "it shall be").otherwise("ok"), F.concat(F.lit("USD "), Z), F.concat(Z, F.lit(" pcs")), F.when(ID % 3 == 0, "12.50 EUR").otherwise(""))),
+_COMMERCIAL = lambda: tender.is_commercial_table(
+    F.when(F.col("id") % 4 == 0, F.array(F.lit("Item"), F.lit("Unit_Price"))).when(F.col("id") % 4 == 1, F.array(F.lit("Parameter"))).otherwise(F.array(F.lit("Thing"))),
+    F.when(F.col("id") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.when(F.col("id") % 5 == 0, "it shall be").otherwise("ok"), F.concat(F.lit("USD "), _z()), F.concat(_z(), F.lit(" pcs")), F.when(F.col("id") % 3 == 0, "12.50 EUR").otherwise(""))),
     F.lit("Some title"),
 )
-_rows("commercial_tables", {"commercial": (_COMMERCIAL, "id % 7 <> 0 AND id % 5 <> 0 AND (id % 4 = 0 OR (id % 4 <> 1 AND id % 3 = 0))")})
+_rows("commercial_tables", {"commercial": (lambda: _COMMERCIAL(), "id % 7 <> 0 AND id % 5 <> 0 AND (id % 4 = 0 OR (id % 4 <> 1 AND id % 3 = 0))")})
 
 
 @lambda f: QUERIES.setdefault("function_families", f)

@@ -139,9 +139,10 @@ def edge_ids(spark, d):
     return _t(spark, d, "customer").select("c_custkey", scalars.edge_id(F.col("c_custkey"), F.col("c_nationkey"), F.col("c_mktsegment")).alias("edge"))
 
 
-@_query("SELECT p_partkey, CASE WHEN p_partkey > 702 THEN chr(CAST((p_partkey - 703) // 676 % 26 + 65 AS INT)) ELSE '' END || CASE WHEN p_partkey > 26 THEN chr(CAST((p_partkey - 27) // 26 % 26 + 65 AS INT)) ELSE '' END || chr(CAST((p_partkey - 1) % 26 + 65 AS INT)) || p_size AS address FROM part WHERE p_partkey BETWEEN 1 AND 18278")
+@_query("""WITH RECURSIVE a(p_partkey, n, letters) AS (SELECT p_partkey, p_partkey, '' FROM part UNION ALL SELECT p_partkey, (n - 1) // 26, chr(CAST((n - 1) % 26 + 65 AS INT)) || letters FROM a WHERE n > 0)
+SELECT a.p_partkey, CASE WHEN letters = '' THEN 'A' ELSE letters END || p_size AS address FROM a JOIN part USING (p_partkey) WHERE n = 0""")
 def cell_addresses(spark, d):
-    return _t(spark, d, "part").where("p_partkey BETWEEN 1 AND 18278").select("p_partkey", scalars.a1(F.col("p_size"), F.col("p_partkey")).alias("address"))
+    return _t(spark, d, "part").select("p_partkey", scalars.a1(F.col("p_size"), F.col("p_partkey")).alias("address"))
 
 
 _PATH = "CASE WHEN p{0} IS NOT NULL AND {1} THEN t{0} END"
@@ -234,6 +235,6 @@ def library_search(spark, d):
 
 @_query()
 def packed_chunks(spark, d):
-    kind = F.when(tx.requirement_like(F.col("text")), "heading").otherwise("paragraph")
+    kind = F.when(rules.is_requirement_like(F.col("text")), "heading").otherwise("paragraph")
     c = _t(spark, d, "conversations").select("conv_id", "turn", F.length(F.coalesce("text", F.lit(""))).alias("size"), kind.alias("kind"), F.col("role").alias("section"))
     return outline.packed(c, "conv_id", "turn", "size", "kind", "section", 400).select("conv_id", "turn", "chunk")
