@@ -34,16 +34,49 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def shingles(words: Column, k: Column) -> Column:
-    """Hashes of k consecutive words; k is the item's shingle length, below K for short items only."""
-    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.xxhash64(F.slice(words, i, k)))).otherwise(F.array().cast("array<bigint>"))
+def hashes_of(text: Column) -> Column:
+    return F.transform(words_of(text), lambda x: F.xxhash64(x))
 
 
-def simhash(hashes: Column) -> Column:
-    mask = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)
-    ones = lambda b: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + (h.bitwiseAND(mask(b)) != 0).cast("long"))
-    bit = lambda b: F.when(2 * ones(b) > F.size(hashes), mask(b)).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(bit(b)))
+def shingles(words: str, k: int) -> Column:
+    """Hashes of k consecutive words of the column `words` of word hashes; k is the item's shingle length, below K for short items only."""
+    ahead = lambda x, i: F.xxhash64(x, *(F.get(words, i + j) for j in range(1, k)))
+    return F.slice(F.transform(words, ahead), 1, F.greatest(F.size(words) - k + 1, F.lit(0)))
+
+
+def _shingles_by(words: str, k: str) -> Column:
+    """shingles() where k is a column of 1 to K."""
+    out = shingles(words, K)
+    for j in range(1, K):
+        out = F.when(F.col(k) == j, shingles(words, j)).otherwise(out)
+    return out
+
+
+def simhash(hashes: str) -> Column:
+    """64-bit SimHash of a column of hashes: bit b is set where more than half of the hashes have it.
+
+    Sixteen sums hold four counters of 16 bits each, so a hash is added sixteen times and not sixty-four; longer arrays are summed in runs.
+    """
+    run = 1 << 15
+    lanes = lambda part, j: F.aggregate(part, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(0x0001000100010001)))
+    n = F.size(hashes)
+
+    def ones(j: int, k: int) -> Column:
+        count = lambda acc: F.shiftrightunsigned(acc, 16 * k).bitwiseAND(F.lit(0xFFFF))
+        runs = F.transform(F.sequence(F.lit(0), (n / run).cast("int")), lambda i: count(lanes(F.slice(hashes, i * run + 1, run), j)))
+        return F.aggregate(runs, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def bits(acc: Column, j: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for k in range(4):
+            mask = F.call_function("shiftleft", F.lit(1).cast("long"), j + 16 * k)
+            out = out.bitwiseOR(F.when(2 * F.shiftrightunsigned(acc, 16 * k).bitwiseAND(F.lit(0xFFFF)) > n, mask).otherwise(F.lit(0).cast("long")))
+        return out
+
+    both = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    short = both(F.transform(F.array(*(lanes(F.col(hashes), j) for j in range(16))), bits))
+    one = lambda j, k: F.when(2 * ones(j, k) > n, F.lit((1 << (j + 16 * k)) - ((1 << 64) if j + 16 * k == 63 else 0))).otherwise(F.lit(0).cast("long"))
+    return F.when(n <= run, short).otherwise(both(F.array(*(one(j, k) for j in range(16) for k in range(4)))))
 
 
 def blocks(fp: Column) -> Column:
@@ -72,20 +105,20 @@ def _starts(hits: Column, n: Column, k: Column, last: Column, least: Column) ->
 
 def _found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame | None:
     """doc_id, tid, item_id, start, n, similarity: the best window of each row's text and item; None if there are no items."""
-    named = items.select(F.col(f"`{item_col}`").alias("item_id"), words_of(F.col(f"`{item_text}`")).alias("ws")).where("size(ws) > 0").withColumn("item", F.xxhash64("ws"))
+    named = items.select(F.col(f"`{item_col}`").alias("item_id"), hashes_of(F.col(f"`{item_text}`")).alias("ws")).where("size(ws) > 0").withColumn("item", F.xxhash64("ws"))
     it = named.select("item", "ws").dropDuplicates(["item"])  # an id may come with several texts, and a text with several ids
-    it = it.withColumn("n", F.size("ws")).withColumn("k", F.least(F.lit(K), "n")).withColumn("sh", shingles(F.col("ws"), F.col("k")))
+    it = it.withColumn("n", F.size("ws")).withColumn("k", F.least(F.lit(K), "n")).withColumn("sh", _shingles_by("ws", "k"))
     it = materialise(it.select("item", "n", "k", "sh"), "items")
     weight = it.select("item", F.explode(F.array_distinct("sh")).alias("h")).groupBy("h").agg((F.lit(1.0) / F.count("*")).alias("w"))
     weighted = it.select("item", F.explode(F.array_distinct("sh")).alias("h")).join(weight, "h").groupBy("item").agg(F.sort_array(F.collect_list(F.struct("h", "w"))).alias("own"), F.sum("w").alias("total"))
-    prints = materialise(it.join(weighted, "item").select("item", "n", "k", "own", "total", simhash(F.col("sh")).alias("fp")), "prints")
+    prints = materialise(it.join(weighted, "item").select("item", "n", "k", "own", "total", simhash("sh").alias("fp")), "prints")
     places = materialise(it.select("item", "n", "k", F.explode(F.array_distinct("sh")).alias("h")).join(weight, "h").join(weighted.select("item", "total"), "item"), "places")
     lengths = [r["k"] for r in it.select("k").distinct().collect()]  # at most K values
-    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(f"`{text_col}`").alias("tid"), words_of(F.col(f"`{text_col}`")).alias("ws"))
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(f"`{text_col}`").alias("tid"), hashes_of(F.col(f"`{text_col}`")).alias("ws"))
     small = _small(places)
     found = None
     for k in lengths:
-        hit = d.select("doc_id", "tid", F.size("ws").alias("dn"), F.posexplode(shingles(F.col("ws"), F.lit(k))).alias("pos", "h")).join(small.where(F.col("k") == k), "h")
+        hit = d.select("doc_id", "tid", F.size("ws").alias("dn"), F.posexplode(shingles("ws", k)).alias("pos", "h")).join(small.where(F.col("k") == k), "h")
         hit = hit.select("doc_id", "tid", "dn", "item", "n", "k", "total", "pos", "h", "w")
         found = hit if found is None else found.unionByName(hit)
     if found is None:
@@ -101,9 +134,9 @@ def _found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_c
     laid = laid.select(F.col("doc_id").alias("wid"), F.col("tid").alias("wtid"), "k", "wins")
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(f"`{text_col}`").alias("tid"), F.col(f"`{text_col}`").alias("t"))
     texts = texts.join(_small(laid), (F.col("tid") == F.col("wtid")) & F.col("doc_id").eqNullSafe(F.col("wid")))
-    win = texts.select("doc_id", "tid", "k", "wins", words_of(F.col("t")).alias("ws")).select("doc_id", "tid", "k", "wins", shingles(F.col("ws"), F.col("k")).alias("all"))
+    win = texts.select("doc_id", "tid", "k", "wins", hashes_of(F.col("t")).alias("ws")).select("doc_id", "tid", "k", "wins", _shingles_by("ws", "k").alias("all"))
     win = win.select("doc_id", "tid", "k", "all", F.explode("wins").alias("x")).select("doc_id", "tid", "k", "x.start", "x.n", F.slice("all", F.col("x.start") + 1, F.col("x.n") - F.col("k") + 1).alias("sh"))
-    win = win.select("doc_id", "tid", "start", "n", "k", "sh", simhash(F.col("sh")).alias("wp"))
+    win = win.select("doc_id", "tid", "start", "n", "k", "sh", simhash("sh").alias("wp"))
     # the index is asked by the size of the window and a block of its fingerprint, for whatever items lie there
     index = prints.select("item", "n", "k", "own", "total", "fp", F.explode(blocks(F.col("fp"))).alias("blk"))
     near = win.withColumn("blk", F.explode(blocks(F.col("wp")))).join(_small(index), ["n", "k", "blk"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("wp"))) <= RADIUS)

@@ -115,3 +115,14 @@ def test_long_texts_go_through_whole(spark, text):
         assert stage(spark, df, "/root/testdata/sf0.001").first().text == text
     r = cp.tokens(spark, df, "/root/testdata/sf0.001").first()
     assert r.round_trip and r.n_tokens > 1000
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 40, 33_000])
+def test_simhash_by_brute_force(spark, n):
+    from clausework.llm.decontaminate import simhash
+
+    rnd = random.Random(n)
+    hs = [rnd.getrandbits(64) - (1 << 63) for _ in range(n)]
+    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > n)
+    got = spark.createDataFrame([(hs,)], "h array<long>").select(simhash("h").alias("s")).first().s
+    assert got % (1 << 64) == want
