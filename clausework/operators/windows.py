@@ -36,3 +36,11 @@ def last_decision(events: DataFrame, by: list[str], order: list[str]) -> DataFra
     rest = [c for c in events.columns if c not in by]
     picked = F.max(F.struct(*order, *[c for c in rest if c not in order])).alias("_r")
     return events.groupBy(*by).agg(picked).select(*by, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def page(df: DataFrame, by: list[str], order: list, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of each group with the number of all its rows; limits from 1 to 500, offsets from 0."""
+    limit, offset = max(1, min(500, limit)), max(0, offset)
+    i = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    rows = df.withColumns({"_i": i, "total": F.count("*").over(Window.partitionBy(*by))})
+    return rows.where((F.col("_i") > offset) & (F.col("_i") <= offset + limit)).drop("_i")
