@@ -63,7 +63,7 @@ def test_numbers_and_units(spark):
     assert one(spark, guards.foreign_standards(lit("ISO 6270 and EN 14236"), lit("EN ISO 6270-1"))) == [["EN 14236"]]
     assert one(spark, guards.values_left_behind(lit("list"), lit("list 11 22 33 44"), lit("55")), guards.values_left_behind(lit("list"), lit("list 11 22"), lit(""))) == [4, 0]
     assert one(spark, catalog.periods_compatible(lit("every 15 min"), lit("15 minutes")), catalog.periods_compatible(lit("60 min"), lit("1 h")), catalog.periods_compatible(lit("none"), lit("1 h"))) == [True, False, True]
-    assert one(spark, records.object_code(lit("1:0-1.8.0.255")), records.object_codes(lit("0-0:96.1.0 .255 1-0:2.8.0.255")), records.intish(lit("007")), records.intish(lit(None).cast("string"))) == ["1-0:1.8.0.255", ["0-0:96.1.0.255", "1-0:2.8.0.255"], "7", None]
+    assert one(spark, records.object_code(lit("1:0-1.8.0.255")), records.object_codes(lit("0-0:96 1 0 255 1-0:2.8.0.255")), records.intish(lit("007")), records.intish(lit(None).cast("string"))) == ["1-0:1.8.0.255", ["0-0:96.1.0.255", "1-0:2.8.0.255"], "7", None]
     assert one(spark, records.formula_safe(lit("-A--")), records.formula_safe(lit("+12,5%")), records.formula_safe(lit("=1+1")), records.formula_safe(lit(None).cast("string"))) == ["-A--", "+12,5%", "'=1+1", None]
 
 
