@@ -184,15 +184,18 @@ def padded(row: Column, width: int) -> Column:
 
 
 def cell_text(value: Column, kind: str) -> Column:
-    """A typed cell as text: 1/0 words for booleans, dates for midnights, whole numbers without a fraction."""
+    """A typed cell as text: TRUE or FALSE, days for midnights and ISO form for other times, whole numbers without a fraction; null is empty."""
     if kind == "boolean":
-        return F.when(value, "True").otherwise("False")
-    if kind.startswith("timestamp"):
-        day = F.date_format(value, "HH:mm:ss") == "00:00:00"
-        return F.when(day, F.date_format(value, "yyyy-MM-dd")).otherwise(F.date_format(value, "yyyy-MM-dd HH:mm:ss"))
-    if kind in ("double", "float") or kind.startswith("decimal"):
-        return F.when(value == F.floor(value), value.cast("decimal(38,0)").cast("string")).otherwise(value.cast("string"))
-    return value.cast("string")
+        out = F.when(value, "TRUE").otherwise("FALSE")
+    elif kind.startswith("timestamp"):
+        day = F.date_format(value, "HH:mm:ss.SSSSSS") == "00:00:00.000000"
+        second = F.date_format(value, "SSSSSS") == "000000"
+        out = F.when(day, F.date_format(value, "yyyy-MM-dd")).when(second, F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    elif kind in ("double", "float") or kind.startswith("decimal"):
+        out = F.when(value == F.floor(value), value.cast("decimal(38,0)").cast("string")).otherwise(value.cast("string"))
+    else:
+        out = value.cast("string")
+    return F.when(value.isNull(), "").otherwise(out)
 
 
 def float_or(text: Column, default: float) -> Column:

@@ -86,3 +86,12 @@ def uncached_formulas(spark, d):
     l = spark.read.parquet(f"{d}/lineitem.parquet")
     cells = l.select(F.col("l_orderkey").alias("t"), F.col("l_linenumber").alias("r"), F.col("l_suppkey").cast("int").alias("c"), F.when(F.col("l_returnflag") == "A", "f").otherwise("n").alias("kind"), F.when(F.col("l_linestatus") == "F", " ").otherwise("1").alias("text"))
     return sheets.uncached(cells, ["t"], 5)
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE 'x' END AS number, CASE WHEN CAST(ts AS TIME) = TIME '00:00:00' THEN strftime(ts, '%Y-%m-%d') WHEN extract(microsecond FROM ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS time, CASE WHEN event_id % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS flag FROM events")
+def typed_cells(spark, d):
+    from clausework.functions import scalars
+
+    e = spark.read.parquet(f"{d}/events.parquet")
+    number = scalars.cell_text(F.when(F.col("event_id") % 5 != 0, F.col("value")), "double")
+    return e.select("event_id", F.when((F.col("event_id") % 5 != 0) & (F.col("value") != F.floor("value")), "x").otherwise(number).alias("number"), scalars.cell_text(F.col("ts"), "timestamp").alias("time"), scalars.cell_text(F.col("event_id") % 2 == 0, "boolean").alias("flag"))
