@@ -27,6 +27,7 @@ FEATURE_BITS = 18
 TRAIN_DOCS = 12_000
 TRAIN_BYTES = 40_000_000
 EPOCHS = 30
+SLICE = 256
 _STOP = np.zeros(256, bool)
 _STOP[[ord("."), ord("!"), ord("?"), ord("\n")]] = True
 _WORD = np.zeros(256, bool)
@@ -74,23 +75,34 @@ def train(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
     share = (labels.sum() + 1) / (len(labels) + 2)
     if not len(labels) or labels.min() == labels.max():
         return weights.astype(np.float32), float(np.log(share / (1 - share)))
-    sent, feat, owner, n, _ = bags(pa.array(texts, pa.large_string()))
-    doc = owner[sent]
-    pair = np.unique((doc << FEATURE_BITS) | feat)
-    df = np.bincount(pair & ((1 << FEATURE_BITS) - 1), minlength=1 << FEATURE_BITS)
-    pos = np.bincount(pair & ((1 << FEATURE_BITS) - 1), weights=labels[pair >> FEATURE_BITS], minlength=1 << FEATURE_BITS)
+    # two passes over slices of the sample: what each feature occurs with, then the features that train; the rest is never held
+    size, n = 1 << FEATURE_BITS, len(texts)
+    cut = lambda i: bags(pa.array(texts[i : i + SLICE], pa.large_string()))
+    df, pos = np.zeros(size), np.zeros(size)
+    for i in range(0, n, SLICE):
+        sent, feat, owner, _, _ = cut(i)
+        pair = np.unique((owner[sent] << FEATURE_BITS) | feat)
+        df += np.bincount(pair & (size - 1), minlength=size)
+        pos += np.bincount(pair & (size - 1), weights=labels[i + (pair >> FEATURE_BITS)], minlength=size)
     # a feature trains if its documents' labels differ clearly from the corpus; the rest stays 0
     z = (pos - df * share) / np.sqrt(df * share * (1 - share) + 1e-9)
     use = (df >= 4) & (z > 3.0) & (pos >= 3)
-    keep = use[feat]
-    sent, feat = sent[keep], feat[keep]
+    sents, feats, owners, base = [], [], [], 0
+    for i in range(0, n, SLICE):
+        sent, feat, owner, _, _ = cut(i)
+        keep = use[feat]
+        sents.append((sent[keep] + base).astype(np.int32))
+        feats.append(feat[keep].astype(np.int32))
+        owners.append((owner + i).astype(np.int32))
+        base += len(owner)
+    sent, feat, owner = np.concatenate(sents), np.concatenate(feats), np.concatenate(owners)
     bias, grad2, bias2 = -6.0, np.full(1 << FEATURE_BITS, 1e-6), 1e-6
     weights[use] = np.log((pos[use] + 0.5) / (df[use] - pos[use] + 0.5)) - np.log(share / (1 - share))
     for _ in range(EPOCHS):
         p, q = _forward(weights, bias, sent, feat, owner, n)
         q = np.clip(q, 1e-9, 1 - 1e-9)
         back = np.where(labels == 1, -(1 - q) / q, 1.0)[owner] * p  # d loss / d z of each sentence
-        g = np.bincount(feat, weights=back[sent], minlength=1 << FEATURE_BITS) + 1e-2 * weights * use
+        g = np.bincount(feat, weights=back[sent], minlength=size) + 1e-2 * weights * use
         gb = back.sum()
         grad2 += g * g
         bias2 += gb * gb
