@@ -233,7 +233,14 @@ def library_search(spark, d):
     return _t(spark, d, "documents").select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
-@_query()
+_LIKE_TEXT = _LIKE.replace("lower(s)", "lower(t)")
+
+
+@_query(
+    f"""WITH RECURSIVE b AS (SELECT conv_id, turn, length(t) AS n, role AS sec, {_LIKE_TEXT} AS h, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM (SELECT *, coalesce(text, '') AS t FROM conversations)),
+r(conv_id, turn, i, chunk, held, own) AS (SELECT conv_id, turn, i, 1, n, sec FROM b WHERE i = 1 UNION ALL SELECT b.conv_id, b.turn, b.i, r.chunk + e.e, CASE WHEN e.e = 1 THEN b.n ELSE held + b.n END, CASE WHEN e.e = 1 THEN b.sec ELSE own END
+ FROM r JOIN b ON b.conv_id = r.conv_id AND b.i = r.i + 1, LATERAL (SELECT CASE WHEN (b.h AND held >= 140) OR (b.sec <> own AND held >= 200) OR held + b.n > 400 THEN 1 ELSE 0 END AS e) e) SELECT conv_id, turn, chunk FROM r"""
+)
 def packed_chunks(spark, d):
     kind = F.when(rules.is_requirement_like(F.col("text")), "heading").otherwise("paragraph")
     c = _t(spark, d, "conversations").select("conv_id", "turn", F.length(F.coalesce("text", F.lit(""))).alias("size"), kind.alias("kind"), F.col("role").alias("section"))
