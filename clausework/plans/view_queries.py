@@ -52,7 +52,7 @@ def cut_texts(spark, d):
     t = F.coalesce("text", F.lit(""))
     x = _t(spark, d, "documents").select("doc_id", t.alias("t"), packing.cut_text(F.col("text"), 400).alias("p"))
     bare = F.aggregate("p", F.lit(0), lambda a, s: a + F.length(F.regexp_replace(s, r"\s+", "")))
-    return x.select("doc_id", F.when(F.length("t") <= 400, F.size("p")).otherwise(-1).alias("short"), bare.cast("long").alias("chars"), ~F.exists("p", lambda s: F.length(s) > 400).alias("fits"))
+    return x.select("doc_id", F.when(F.length("t") <= 400, F.size("p")).otherwise(-1).alias("short"), bare.cast("long").alias("chars"), (~F.exists("p", lambda s: F.length(s) > 400)).alias("fits"))
 
 
 @_query(f"SELECT doc, id AS o, CASE WHEN r = 1 THEN '4.' || (doc % 3) ELSE 'B' END AS clause, CASE WHEN r = 1 THEN '4.' || (doc % 3) || ' Rules' ELSE 'Annex B Tests' END AS excerpt FROM (SELECT id // 20 AS doc, id, id % 20 AS k FROM {CLAUSES}), (VALUES (1), (2)) v(r) WHERE k = 3 AND doc IN (SELECT id // 20 FROM {CLAUSES} GROUP BY 1 HAVING count(*) = 20)")
