@@ -192,9 +192,9 @@ def is_coverage_candidate(text: Column, kind: Column, region: Column, noise: Col
     return is_requirement_like(text) & body & (v != "") & ~((F.length(v) <= 160) & v.rlike(REFERENCE_LINE)) & ~v.rlike(HEADING_LINE)
 
 
-def domain_tags(text: Column) -> Column:
-    """Tags of all rules that find a term, in rule order."""
-    low = F.lower(_v(text))
+def domain_tags(text: Column, low: Column | None = None) -> Column:
+    """Tags of all rules that find a term, in rule order. low: the text in lower case as a column, which saves making it for every term."""
+    low = F.lower(_v(text)) if low is None else low
     # a term is looked for as it stands before its borders are checked: most lines hold none
     return F.array_compact(F.array(*[F.when(any_of(low, terms) & low.rlike(term_pattern(terms)), F.lit(tag)) for tag, terms in DOMAINS]))
 

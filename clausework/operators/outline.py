@@ -135,18 +135,17 @@ TERM_CHARS = 4_000_000
 def term_matches(df: DataFrame, text: str, terms: DataFrame, entry: str, term: str) -> DataFrame:
     """Rows of df with the terms their lower-case text contains as whole words or plurals.
 
-    Each term is indexed by its first word (a single word also by its plurals), a term without one by its first two characters
-    (its only one), so that the join is on equal keys and only rows that share one are verified. Terms without Latin letters are found
-    anywhere. Terms are a vocabulary: they are broadcast up to TERM_CHARS characters in all, else shuffled.
+    Each term is indexed by its first word (a single word also by its plurals), a term without one by its first character beyond ASCII, so
+    that the join is on equal keys and only rows that share one are verified; terms of signs alone are held against every row. Terms
+    without Latin letters or digits are found anywhere. Terms are a vocabulary: they are broadcast up to TERM_CHARS characters in all, else shuffled.
     """
     lower, low = F.lower(term), F.lower(F.coalesce(F.col(text), F.lit("")))
-    first = F.regexp_extract(lower, "[a-z0-9]+", 0)
-    keys = F.when(first == "", F.array(F.substring(lower, 1, 2))).when(lower == first, F.array(first, F.concat(first, F.lit("s")), F.concat(first, F.lit("es")))).otherwise(F.array(first))
+    first, other = F.regexp_extract(lower, "[a-z0-9]+", 0), F.regexp_extract(lower, r"[^\x00-\x7f]", 0)
+    keys = F.when(first == "", F.array(F.when(other == "", "*").otherwise(other))).when(lower == first, F.array(first, F.concat(first, F.lit("s")), F.concat(first, F.lit("es")))).otherwise(F.array(first))
     index = terms.where(F.col(term) != "").select(F.col(entry).alias("_e"), lower.alias("_t"), F.explode(keys).alias("_k"))
     index = F.broadcast(index) if (terms.agg(F.sum(F.length(term))).first()[0] or 0) <= TERM_CHARS else index
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.substr(low, i, F.lit(2)))
-    other = F.when(low.rlike(r"[^\x00-\x7f]"), F.concat(F.filter(pairs, lambda x: x.rlike(r"[^\x00-\x7f]")), F.regexp_extract_all(low, F.lit(r"[^\x00-\x7f]"), F.lit(0)))).otherwise(F.array().cast("array<string>"))
-    words = df.withColumn("_k", F.explode(F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)), other))))
+    found = lambda pattern: F.regexp_extract_all(low, F.lit(pattern), F.lit(0))
+    words = df.withColumn("_k", F.explode(F.array_distinct(F.concat(F.array(F.lit("*")), found("[a-z0-9]+"), found(r"[^\x00-\x7f]")))))
     plain = F.concat(F.lit(r"\Q"), F.col("_t"), F.lit(r"\E"))
     whole = F.when(F.col("_t").rlike("[a-z0-9]"), F.concat(F.lit("(?:^|[^a-z0-9])"), plain, F.lit("(?:e?s)?(?:[^a-z0-9]|$)"))).otherwise(plain)
     hit = words.join(index, "_k").where(F.regexp_like(low, whole))

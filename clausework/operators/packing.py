@@ -111,8 +111,9 @@ def attached_terms(df: DataFrame, defined: DataFrame, by: list[str], order: str,
     Sections and terms meet on the first four characters of a term, so only those that have them are searched.
     """
     body = df.where(~F.coalesce(F.concat_ws(" / ", F.col(path)), F.lit("")).rlike(TERMS_HEADING)).select(*by, F.col(order).alias("_o"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_b"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_b") - 3, F.lit(1))), lambda i: F.substr("_b", i, F.lit(4))))
-    keyed = body.withColumn("_k", F.explode(grams))
+    # cut into characters once, so that the keys of a long text cost its length
+    grams = F.transform("_c", lambda x, i: F.concat_ws("", x, F.get("_c", i + 1), F.get("_c", i + 2), F.get("_c", i + 3)))
+    keyed = body.withColumn("_c", F.split("_b", "")).withColumn("_k", F.explode(F.array_distinct(grams))).drop("_c")
     t = defined.select(*by, F.col("ord").alias("_t"), "term", "definition", F.substring(F.lower("term"), 1, 4).alias("_k"))
     hit = keyed.join(t, [*by, "_k"]).where(F.contains("_b", F.lower("term")))
     i = F.row_number().over(Window.partitionBy(*by, "_o").orderBy("_t"))

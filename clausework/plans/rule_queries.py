@@ -63,6 +63,17 @@ def _counted(name: str, value: Callable[[Column], Column], sql: str) -> None:
     ORACLE[name] = f"SELECT doc_id, {sql} AS value, count(*) AS n FROM ({_LINES}) GROUP BY 1, 2"
 
 
+def _tagged_lines(name: str, value: Callable[[Column, Column], Column], sql: str) -> None:
+    """The same for a rule of a line and its tags, which are made once."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        lines = _lines(spark, d).withColumn("low", F.lower("s")).withColumn("tags", rules.domain_tags(F.col("s"), F.col("low")))
+        return lines.groupBy("doc_id", value(F.col("s"), F.col("tags")).alias("value")).agg(F.count("*").alias("n"))
+
+    QUERIES[name] = run
+    ORACLE[name] = f"SELECT doc_id, {sql} AS value, count(*) AS n FROM ({_LINES}) GROUP BY 1, 2"
+
+
 def _any(column: str, patterns: tuple[str, ...]) -> str:
     return _re(column, rules.any_pattern(patterns))
 
@@ -107,18 +118,18 @@ _counted(
     lambda _s: rules.is_coverage_candidate(_s, F.lit("paragraph"), F.lit(""), rules.is_noise(_s)),
     f"({_LIKE} AND NOT {_NOISE.format('s')} AND trim(s) <> '' AND NOT (length(s) <= 160 AND {_re('s', rules.REFERENCE_LINE)}) AND NOT {_re('s', rules.HEADING_LINE)})",
 )
-_counted("domain_tags", lambda _s: F.array_join(rules.domain_tags(_s), ","), _TAGS)
-_counted("primary_domains", lambda _s: rules.primary_domain(rules.domain_tags(_s)), f"coalesce(nullif(split_part({_TAGS}, ',', 1), ''), 'general')")
-_counted(
+_tagged_lines("domain_tags", lambda _s, tags: F.array_join(tags, ","), _TAGS)
+_tagged_lines("primary_domains", lambda _s, tags: rules.primary_domain(tags), f"coalesce(nullif(split_part({_TAGS}, ',', 1), ''), 'general')")
+_tagged_lines(
     "requirement_types",
-    lambda _s: rules.requirement_type(_s, rules.domain_tags(_s)),
+    lambda _s, tags: rules.requirement_type(_s, tags),
     f"CASE WHEN {_has('lower(s)', ('hls', 'lls', 'password', 'encrypt', 'authenticat'))} THEN 'security' WHEN {_has('lower(s)', ('read', 'write', 'access', 'association'))} THEN 'access_control'"
     f" WHEN {_tagged('communication_profile')} OR {_has('lower(s)', ('dlms', 'xdlms', 'communication', 'push'))} THEN 'communication'"
     f" WHEN {_tagged('cosem_object')} OR {_has('lower(s)', ('cosem', 'obis', 'logical_name', 'attribute'))} THEN 'cosem_object' WHEN {_tagged('event')} THEN 'event' ELSE 'functional' END",
 )
-_counted(
+_tagged_lines(
     "verification_methods",
-    lambda _s: rules.verification_method(_s, rules.domain_tags(_s)),
+    lambda _s, tags: rules.verification_method(_s, tags),
     f"CASE WHEN {_has('lower(s)', ('set to', 'access rights', 'configured', 'password', 'hls', 'lls'))} THEN 'configuration_check'"
     f" WHEN {_has('lower(s)', ('shall support', 'must support', 'service', 'push', 'notification'))} OR {_tagged('security_policy')} THEN 'test' ELSE 'inspection' END",
 )
