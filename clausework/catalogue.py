@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clausework.functions import text as tx
 from clausework.operators import joins, windows
-from clausework.plans import candidate_queries, clause_queries, consistency_queries, group_queries, knowledge_queries, ledger_queries, object_queries, record_queries, routing_queries, rule_queries, sheet_queries, table_queries, view_queries
+from clausework.plans import candidate_queries, clause_queries, consistency_queries, group_queries, grouping_queries, knowledge_queries, ledger_queries, object_queries, record_queries, routing_queries, rule_queries, sheet_queries, table_queries, view_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -160,6 +160,6 @@ def html_blocks(spark, d):
     return b.groupBy("id").agg(count("heading").alias("headings"), count("paragraph").alias("paragraphs"))
 
 
-for module in (rule_queries, clause_queries, record_queries, table_queries, candidate_queries, consistency_queries, ledger_queries, knowledge_queries, object_queries, routing_queries, sheet_queries, view_queries):
+for module in (rule_queries, clause_queries, record_queries, table_queries, candidate_queries, consistency_queries, ledger_queries, knowledge_queries, object_queries, routing_queries, sheet_queries, view_queries, grouping_queries):
     QUERIES |= module.QUERIES
     ORACLE |= module.ORACLE

@@ -253,12 +253,16 @@ def connectors(text: Column) -> Column:
     return F.array_sort(F.array_distinct(found))
 
 
+def qualifier_sides(text: Column) -> list[tuple[Column, Column]]:
+    """For each pair of qualifiers whether the text has the left side, and whether it has the right side alone."""
+    low = F.lower(_v(text))
+    return [(any_of(low, left), any_of(low, right) & ~any_of(low, left)) for left, right in QUALIFIERS]
+
+
 def opposed(a: Column, b: Column) -> Column:
     """Whether one text has the left and the other the right side of a pair of qualifiers; a text with both counts as left."""
-    out, (a, b) = F.lit(False), (F.lower(_v(a)), F.lower(_v(b)))
-    for left, right in QUALIFIERS:
-        al, bl = any_of(a, left), any_of(b, left)
-        ar, br = any_of(a, right) & ~al, any_of(b, right) & ~bl
+    out = F.lit(False)
+    for (al, ar), (bl, br) in zip(qualifier_sides(a), qualifier_sides(b), strict=True):
         out = out | (al & br) | (ar & bl)
     return out
 
