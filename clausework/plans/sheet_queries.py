@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausework.operators import sheets
+from clausework.sources import office, office_sinks
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -95,3 +96,35 @@ def typed_cells(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     number = scalars.cell_text(F.when(F.col("event_id") % 5 != 0, F.col("value")), "double")
     return e.select("event_id", F.when((F.col("event_id") % 5 != 0) & (F.col("value") != F.floor("value")), "x").otherwise(number).alias("number"), scalars.cell_text(F.col("ts"), "timestamp").alias("time"), scalars.cell_text(F.col("event_id") % 2 == 0, "boolean").alias("flag"))
+
+
+# --- sinks, read back by the scans
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+_BOOK = "SELECT r_name || '.xlsx' AS path, n_name AS sheet, c_custkey, c_name, c_mktsegment, row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+
+
+@_query(f"""SELECT path, sheet, r, 1::BIGINT AS c, '00' || c_custkey AS text FROM ({_BOOK}) UNION ALL SELECT path, sheet, r, 2, '=<' || c_name || '>' FROM ({_BOOK}) WHERE c_custkey % 3 <> 0
+UNION ALL SELECT path, sheet, r, 3, c_mktsegment || ' & "co"' FROM ({_BOOK})""")
+def written_workbooks(spark, d):
+    n = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = _t(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    cells = F.array(F.concat(F.lit("00"), "c_custkey"), F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("=<"), "c_name", F.lit(">"))), F.concat("c_mktsegment", F.lit(' & "co"')))
+    rows = c.select(F.concat("r_name", F.lit(".xlsx")).alias("path"), F.col("n_name").alias("sheet"), F.col("c_custkey").alias("ord"), cells.alias("cells"))
+    return office.xlsx_cells(office.xlsx(office_sinks.workbooks(rows)))[0].select("path", "sheet", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "text")
+
+
+@_query("""WITH n AS (SELECT n_name, r_name, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey), t AS (SELECT c_nationkey, string_agg(c_custkey || '|' || c_mktsegment, ';' ORDER BY c_custkey) AS rows FROM customer GROUP BY 1),
+u AS (SELECT r_name AS path, n_name AS name, 1 AS z, 'paragraph' AS kind, 'heading 2' AS style, n_name AS text, '' AS rows FROM n UNION ALL SELECT r_name, n_name, 2, 'table', NULL, NULL, t.rows FROM n JOIN t ON c_nationkey = n_nationkey)
+SELECT path, row_number() OVER (PARTITION BY path ORDER BY name, z) AS ord, kind, style, text, rows FROM u""")
+def written_documents(spark, d):
+    n = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    lines = F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment")))
+    t = _t(spark, d, "customer").groupBy("c_nationkey").agg(F.transform(lines, lambda x: F.array(x["c_custkey"].cast("string"), x["c_mktsegment"])).alias("rows"))
+    heads = n.select(F.col("r_name").alias("path"), F.concat("n_name", F.lit(" 1")).alias("ord"), F.lit("paragraph").alias("kind"), F.lit("heading 2").alias("style"), F.col("n_name").alias("text"), F.lit(None).cast("array<array<string>>").alias("rows"))
+    tables_ = n.join(t, F.col("c_nationkey") == F.col("n_nationkey")).select("r_name", F.concat("n_name", F.lit(" 2")), F.lit("table"), F.lit(None), F.lit(None), "rows")
+    out = office.docx(office_sinks.documents(heads.union(tables_)))
+    return out.select("path", F.col("ord").cast("long").alias("ord"), "kind", "style", "text", F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";").alias("rows"))
