@@ -115,7 +115,7 @@ def cell_candidates(spark: SparkSession, d: str) -> DataFrame:
     x = tq._all(spark, d)
     items = tq.tables.cell_items(tq._planned(x), x["cells"], x["rows"], x["ranges"], ["t"], F.concat(F.lit("T"), F.col("t").cast("string")))
     axes = x["dims"].select("t", "c", F.lit(True).alias("axis"))
-    c = items.join(axes, ["t", "c"], "left").withColumns({"axis": F.coalesce("axis", F.lit(False)), "tags": F.array().cast("array<string>"), "context": F.col("row_header_context")})
+    c = items.join(tq.tables._dealt(axes), ["t", "c"], "left").withColumns({"axis": F.coalesce("axis", F.lit(False)), "tags": F.array().cast("array<string>"), "context": F.col("row_header_context")})
     return candidates.of_cells(c).groupBy("requirement_type", "requirement").agg(F.count("*").alias("n"))
 
 
