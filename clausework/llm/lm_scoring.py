@@ -141,8 +141,7 @@ class Model:
         for i in range(0, len(h), BATCH):
             at = order[i : i + BATCH]
             wa, wb, wt, wu = a[at], b[at], c[at], unit[at]
-            ra, rb = r[wa], r[wb]
-            ctx = ra @ c1 + rb @ c2
+            ctx = (r @ c1)[wa] + (r @ c2)[wb]  # one product a context, not a token
             dctx, gq, gb = _contrast(ctx, wt, q, bias, words.noise, draw, rng)
             some = np.flatnonzero(wu >= 0)
             if len(some):
@@ -152,8 +151,8 @@ class Model:
                     g = g / np.float32(len(at))
                     s[sparse] += g * g
                     p[sparse] -= RATE * g / np.sqrt(s[sparse])
-            gr = _scatter(wa, dctx @ c1.T, len(r)) + _scatter(wb, dctx @ c2.T, len(r))
-            for p, g, s in zip(self.p, (gr, ra.T @ dctx, rb.T @ dctx, gq, gb), state, strict=False):
+            da, db = _scatter(wa, dctx, len(r)), _scatter(wb, dctx, len(r))
+            for p, g, s in zip(self.p, (da @ c1.T + db @ c2.T, r.T @ da, r.T @ db, gq, gb), state, strict=False):
                 g = g / np.float32(len(at))
                 s += g * g
                 p -= RATE * g / np.sqrt(s)
@@ -185,10 +184,14 @@ def _contrast(ctx: np.ndarray, target: np.ndarray, q: np.ndarray, bias: np.ndarr
     fake = np.minimum(np.searchsorted(draw, rng.random(NOISE) * draw[-1], side="right"), len(noise) - 1)
     mine = q[target]
     pos = np.einsum("ij,ij->i", ctx, mine) + bias[target] - np.log(NOISE * noise[target])
-    neg = ctx @ q[fake].T + (bias[fake] - np.log(NOISE * noise[fake]))
     dp = -1 / (1 + np.exp(np.clip(pos, -30, 30)))
-    dn = 1 / (1 + np.exp(-np.clip(neg, -30, 30)))
-    dctx = dp[:, None] * mine + dn @ q[fake]
+    dn = ctx @ -q[fake].T  # 1 / (1 + exp(-score)), in place
+    dn -= bias[fake] - np.log(NOISE * noise[fake])
+    np.exp(np.clip(dn, -30, 30, out=dn), out=dn)
+    dn += 1
+    np.reciprocal(dn, out=dn)
+    dctx = mine * dp[:, None]
+    dctx += dn @ q[fake]
     if not sparse:
         gq, gb = _scatter(target, dp[:, None] * ctx, len(q)), np.bincount(target, weights=dp, minlength=len(q)).astype(np.float32)
         np.add.at(gq, fake, dn.T @ ctx)
