@@ -8,7 +8,7 @@ neighbouring words (an assignment sign or a credential word before, quotes aroun
 
 The forest is trained on labelled findings: a table of the caller, or, where none is given, examples() - EXAMPLES short texts made by a
 seeded rule, in which random secrets stand in the places of secrets, and commit ids, checksums, identifiers, card numbers, hosts, paths, dates and
-placeholders of common words of the corpus stand in theirs or in the same places. Their labels say how a value was made; the forest sees
+placeholders of common words of the corpus (counted over all distinct texts) stand in theirs or in the same places. Their labels say how a value was made; the forest sees
 its features alone. The training set is the first TRAIN_ROWS of each label by a hash (the documented bound). Dictionary counts
 cover all distinct texts.
 
@@ -27,9 +27,8 @@ from clausework.llm._store import materialise
 
 MIN_LENGTH = 8
 TRAIN_ROWS = 5_000
-#: Made findings, and the texts from which their common words are taken.
-EXAMPLES = 8_000
-EXAMPLE_TEXTS, EXAMPLE_WORDS = 500, 200
+#: Made findings, and the common words in them.
+EXAMPLES, EXAMPLE_WORDS = 8_000, 200
 DICTIONARY_DOCS = 3
 DICTIONARY_SHARE = 1_000
 TREES, DEPTH, SEED = 30, 8, 11
@@ -149,10 +148,10 @@ def _made(words: list[str], seed: int) -> dict[str, Column]:
 
 def examples(docs: DataFrame, rows: int = EXAMPLES, seed: int = SEED, text_col: str = "text") -> DataFrame:
     """doc_id, source, text, value, label: made findings amid common words of the corpus."""
-    texts = docs.select(F.xxhash64(f"`{text_col}`").alias("tid"), F.col(f"`{text_col}`").alias("t")).where("t is not null")
-    every = max(1, texts.count() // EXAMPLE_TEXTS)
-    parts = texts.where(F.pmod("tid", F.lit(every)) == 0).select("tid", F.explode(F.array_distinct(F.split(F.lower("t"), "[^a-z]+"))).alias("part"))
-    common = parts.where("length(part) between 3 and 12").distinct().groupBy("part").count().orderBy(F.desc("count"), "part").limit(EXAMPLE_WORDS)
+    # counted over all distinct texts: each is dealt once by its hash, so that only counts of words are shuffled after that
+    texts = docs.select(F.xxhash64(f"`{text_col}`").alias("tid"), F.col(f"`{text_col}`").alias("t")).where("t is not null").dropDuplicates(["tid"])
+    parts = texts.select(F.explode(F.array_distinct(F.split(F.lower("t"), "[^a-z]+"))).alias("part")).where("length(part) between 3 and 12")
+    common = parts.groupBy("part").count().orderBy(F.desc("count"), "part").limit(EXAMPLE_WORDS)
     words = [r["part"] for r in common.collect()] or ["word"]  # EXAMPLE_WORDS at most
     places = [(p, kind, label) for place, kind, label in _MADE for p in _PLACES[place]]
     at = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(len(places))).cast("int") + 1
